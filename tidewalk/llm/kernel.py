@@ -56,11 +56,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of several texts: `code`, byte range `start:end` in `data`, and `first[i]:first[i+1]` per text."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray) -> None:
-        """data: bytes of the texts one after another; at: where each begins, and the end."""
+    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, between: np.ndarray = SPACE) -> None:
+        """data: bytes of the texts one after another; at: where each begins, and the end; between: bytes outside words."""
         self.data, self.at = data, at
         n = len(data)
-        space = SPACE[data]
+        space = between[data]
         edge = np.zeros(n + 1, bool)
         edge[at] = True  # a text's first byte begins a word even if the text before ended in one
         begins, ends = np.empty(n + 1, bool), np.empty(n + 1, bool)
@@ -70,12 +70,18 @@ class Words:
         ends[1:n] = ~space[:-1] & (space[1:] | edge[1:n])
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         up, down = _power(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(table[data] * up[:n], out=total[1:])
-        self.code = mix((total[self.end] - total[self.start]) * down[self.start])
+        self._total, self._down = np.zeros(n + 1, U), down
+        np.cumsum(table[data] * up[:n], out=self._total[1:])
+        self.code = mix((self._total[self.end] - self._total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the first `size` bytes of the words that are longer, and those words' indexes."""
+        at = np.flatnonzero(self.end - self.start > size)
+        begin = self.start[at]
+        return mix((self._total[begin + size] - self._total[begin]) * self._down[begin]), at
+
     def windows(self, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of every run of `width` words inside one text, and the index of its first word."""
         n = len(self.code) - width + 1

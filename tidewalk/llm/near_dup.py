@@ -22,7 +22,8 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65_534
 #: Pairs that the registers put below this similarity are not checked further: over four standard errors under 0.75.
 ESTIMATE = 0.58
-BLOCK = 128
+#: Documents of a block that meets other blocks in one task.
+BLOCK = 64
 _LOW = (stream(101, REGISTERS) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _HIGH = (stream(102, REGISTERS) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
@@ -123,6 +124,35 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
+def _block_sets(block: pa.Array) -> list[np.ndarray]:
+    out = []
+    for _, data, at in pieces(pa.RecordBatch.from_arrays([block.field("text")], ["text"])):
+        out += shingle_sets(Words(data, at, FOLDED))
+    return out
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each probe its first target whose full shingle set is similar enough."""
+    for batch in batches:
+        us, vs = [], []
+        for probes, targets in zip(batch.column("probes"), batch.column("targets"), strict=True):
+            names, sets = targets.values.field("key").to_numpy(), _block_sets(targets.values)
+            sizes = np.array([len(x) for x in sets])
+            codes = np.concatenate(sets)
+            order = np.argsort(codes, kind="stable")
+            codes, owner = codes[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            for key, own in zip(probes.values.field("key").to_pylist(), _block_sets(probes.values), strict=True):
+                lo, hi = np.searchsorted(codes, own), np.searchsorted(codes, own, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+                both = np.bincount(owner[at], minlength=len(sets))
+                good = np.flatnonzero(100 * both >= LEAST * (len(own) + sizes - both))
+                if len(good):
+                    us.append(key)
+                    vs.append(int(names[good[0]]))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hub, hub_set = None, np.zeros(0, U)
     for batch in batches:
@@ -159,14 +189,50 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return found
 
 
+def _between_others(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely links of bucket members that are outside their bucket's main component, block against block."""
+    cells = cells.join(classes.select("key", "n", "regs"), "key")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
+    packed = cells.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "root", "n", "regs")).alias("probes"))
+    targets = packed.select("bucket", F.col("block").alias("other"), F.col("probes").alias("targets"))
+    return packed.join(targets, "bucket").where("block <= other").select("probes", "targets").mapInArrow(_across, "u long, v long").distinct()
+
+
+def _with_main(cells: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """For bucket members outside the main component one confirmed link to each block of it, if there is any.
+
+    Full sets are compared inside a task, block against block, so the pairs that fail are never rows.
+    """
+    spark = docs.sparkSession
+    blocks = []
+    for side, own in (("probes", "root <> main"), ("targets", "root = main")):
+        ends = cells.where(own).select("key", "main").distinct()
+        size = ends.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias(f"n_{side}"))
+        blocks.append((table(ends, side), size))
+    (probes, _), (targets, n_targets) = blocks
+    keys = probes.select("key").union(targets.select("key")).distinct()
+    texts = table(docs.join(classes.join(keys, "key").select(F.col("rep").alias("doc_id"), "key"), "doc_id").select("key", "text"), "texts")
+    packed = []
+    for side, (ends, size) in zip(("probes", "targets"), blocks, strict=True):
+        dealt = ends.join(size, "main").withColumn("block", F.pmod(F.xxhash64("key"), F.col(f"n_{side}"))).join(texts, "key")
+        packed.append(dealt.groupBy("main", "block").agg(F.collect_list(F.struct("key", "text")).alias(side)))
+    left = packed[0].join(n_targets, "main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_targets") - 1)))
+    pairs = left.join(packed[1], ["main", "block"]).select("probes", "targets")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds up to 2 * BLOCK texts
+    found = table(pairs.mapInArrow(_against, "u long, v long"), "main")
+    small_batches(spark)
+    drop_table(texts)
+    return found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z; documents with 100 * shared shingles >= 75 * all shingles are linked and
     component_id is the smallest doc_id reachable. Equal shingle sets form one class before anything else, so
     exact copies never make pairs. Classes meet in 32 bands of 4 registers; each bucket's members are tried with its
-    most central member (the one whose buckets hold most classes), and what stays unlinked is tried with all other
-    components of its buckets, block by block. Pairs that the joint likelihood does not exclude are confirmed on
+    most central member (the one whose buckets hold most classes), and what stays outside that member's component is
+    tried with all the bucket's other members, block by block. Pairs that the joint likelihood does not exclude are confirmed on
     full sets. A pair at similarity 0.75 misses all bands with odds of 5 in a million, less above.
 
     Null or wordless texts: 0 shingles, linked with nothing, kept. Null doc_id: returned with null component, kept.
@@ -192,15 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = mixed.join(hubs, "bucket").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left")
     main = main.select("bucket", F.coalesce("main", "hub").alias("main"))
     cells = table(rooted.join(main, "bucket"), "cells")
-    cells = cells.join(classes.select("key", "n", "regs"), "key")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
-    packed = F.collect_list(F.struct("key", "root", "n", "regs"))
-    probes = cells.where("root <> main").groupBy("bucket", "block").agg(packed.alias("probes")).drop("block")
-    targets = cells.groupBy("bucket", "block").agg(packed.alias("targets")).drop("block")
-    more = probes.join(targets, "bucket").select("probes", "targets").mapInArrow(_across, "u long, v long").distinct()
-    more = table(more.join(stars, ["u", "v"], "left_anti"), "more")
+    more = _between_others(cells.where("root <> main"), classes).join(stars, ["u", "v"], "left_anti")
+    more = _confirmed(more, classes, docs).union(_with_main(cells, classes, docs))
     if not more.isEmpty():
-        links = links.union(_confirmed(more, classes, docs))
+        links = links.union(more)
         roots = table(components(links), "roots")
 
     whole = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left")

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read, remainder
+from .decontaminate import contaminated
+from .forest import nearest
 from .language import identify, learnable
+from .line_dup import drop_recurring_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .quotes import CHAT_SQL, chat
+from .sharding import shard
 from .substring_dup import without_repeats
 from .toxicity import score_toxicity
 
@@ -22,10 +28,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return identify(docs, learnable(docs)).withColumn("held_out", remainder("doc_id", 4) == 2)
@@ -35,12 +53,25 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_nearest": op3_nearest,
     "op4_toxicity": op4_toxicity,
+    "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat": CHAT_SQL}

@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, *sql: str) -> Callable[[Query], Query]:
+    """Register a query; `sql` are common table expressions and, last, the statement over them."""
+
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = ("WITH RECURSIVE " + ",\n".join(sql[:-1]) + "\n" if len(sql) > 1 else "") + sql[-1]
+        return run
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a2_pair_book_metrics"](spark, sf_dir)
+
+
+from . import queries as _queries  # noqa: E402,F401 - fills the tables above

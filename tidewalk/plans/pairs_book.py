@@ -38,8 +38,8 @@ def legs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def traded(prices: DataFrame, scanned: DataFrame, p: Params = DAILY, use_regime: bool = True) -> DataFrame:
     """Out-of-sample rows of every selected pair, each computed once whatever methods chose it, with P&L."""
     windows = panel.folds(prices, p)
-    rets = panel.returns(prices)
-    chosen = scanned.where(F.col("quality") & F.expr(" OR ".join(multitest.METHODS)))
+    rets = panel.returns(prices).cache()  # read by both windows of both legs
+    chosen = scanned.where(F.col("quality") & F.expr(" OR ".join(multitest.METHODS))).cache()  # the screen runs once
     history = windows.withColumn("ext_lo", F.date_sub("oos_lo", p.regime_history_days))
     inside = legs(pairs.fold_rows(rets, windows, "is_lo", "is_hi"), chosen)
     frozen = pairs.calibrate(inside.withColumn("s", pairs.spread()), PAIR)
@@ -59,4 +59,5 @@ def books(rows: DataFrame) -> DataFrame:
 
 def walk_forward(prices: DataFrame, p: Params = DAILY, membership: DataFrame | None = None, use_regime: bool = True) -> DataFrame:
     """method, fold, date, gross, cost, net, turnover, broken_share, n_pairs: all stitched curves."""
+    prices = prices.cache()
     return books(traded(prices, scan(prices, p, membership), p, use_regime))

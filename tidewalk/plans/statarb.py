@@ -17,7 +17,7 @@ def sign_flipped(rets: DataFrame, seeds: DataFrame | int) -> DataFrame:
 
 
 def scored(rets: DataFrame, members: DataFrame | None, p: Params = DAILY, n_factors: int | str | None = None) -> DataFrame:
-    names = factor.processed(rets, members, p)
+    names = factor.processed(rets, members, p).cache()
     q = factor.loadings(names, rets, p, n_factors)
     return factor.pca_scores(names, rets, q, p).join(names.select("t", "date", "symbol", "adv", "i"), ["t", "symbol"]).withColumn("tradable", factor.tradable(p))
 
@@ -52,7 +52,8 @@ def run(
     rule: 'bands' (entry and exit levels), 'quantile', or 'optimal' (cost-aware); mu_mode: 'ou' or 'empirical'.
     signal_table (date, symbol, signal) replaces the score, mu_table (date, symbol, mu) the expected return.
     """
-    rows = scored(rets, members, p, n_factors)
+    rets = rets.cache()
+    rows = scored(rets, members, p, n_factors).cache()  # every later step reads the scores
     if adv_quantile:
         inside = panel.quantile_band(rows, "adv", *adv_quantile).select("t", "symbol", F.lit(True).alias("_in"))
         rows = rows.join(inside, ["t", "symbol"], "left").withColumn("tradable", F.col("tradable") & F.coalesce("_in", F.lit(False))).drop("_in")

@@ -56,13 +56,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of several texts: `code`, byte range `start:end` in `data`, and `first[i]:first[i+1]` per text."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, between: np.ndarray = SPACE) -> None:
-        """data: bytes of the texts one after another; at: where each begins, and the end; between: bytes outside words."""
+    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, between: np.ndarray = SPACE, apart: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """data: bytes of the texts one after another; at: where each begins, and the end; between: bytes outside words.
+
+        apart: two sets of bytes that end one another's words.
+        """
         self.data, self.at = data, at
         n = len(data)
         space = between[data]
         edge = np.zeros(n + 1, bool)
         edge[at] = True  # a text's first byte begins a word even if the text before ended in one
+        if apart is not None:
+            one, other = apart[0][data], apart[1][data]
+            edge[1:n] |= (one[1:] & other[:-1]) | (one[:-1] & other[1:])
         begins, ends = np.empty(n + 1, bool), np.empty(n + 1, bool)
         begins[0], begins[n] = n > 0 and not space[0], False
         ends[0], ends[n] = False, n > 0 and not space[n - 1]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,13 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_parts, small_batches
-from .kernel import EXACT, U, Words, pieces
+from .kernel import EXACT, FOLDED, SPACE, U, Words, pieces
 
 #: Tokens of a sequence, the id that ends a document, documents packed together, distinct words a worker remembers.
-LENGTH, END, GROUP, REMEMBERED = 4096, 2, 4_000, 1_000_000
+LENGTH, END, GROUP, REMEMBERED = 4096, 2, 4_000, 2_000_000
+#: The vocabulary splits ASCII words from these marks and lower-cases, so a word is met once whatever case and mark it has.
+_MARKS, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def parts_of(data: np.ndarray, at: np.ndarray) -> Words:
+    """Parts of texts that the vocabulary encodes alone. Its special tokens are told by case, so then case counts."""
+    special = b"<|" in data.tobytes()
+    return Words(data, at, EXACT if special else FOLDED, SPACE, (_MARKS, _PLAIN))
+
+
 class WordTokens:
     """Token ids of whole texts, each distinct word encoded once.
 
@@ -34,24 +46,25 @@ class WordTokens:
         self._empty()
 
     def _empty(self) -> None:
-        self.codes, self.begin, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.begin, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, words: Words, codes: np.ndarray, at: np.ndarray) -> None:
         if len(self.codes) > REMEMBERED:
             self._empty()
-        at_old = np.searchsorted(self.codes, codes)
+        place = np.searchsorted(self.codes, codes)
         fresh = np.ones(len(codes), bool)
-        inside = at_old < len(self.codes)
-        fresh[inside] = self.codes[at_old[inside]] != codes[inside]
+        inside = place < len(self.codes)
+        fresh[inside] = self.codes[place[inside]] != codes[inside]
         new, raw = at[fresh], words.data.tobytes()
+        if not len(new):
+            return
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)]
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        size = np.fromiter(map(len, encoded), np.int32, len(encoded))
         begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(size.sum()))])
-        order = np.argsort(codes := np.concatenate([self.codes, codes[fresh]]), kind="stable")
-        self.codes, self.begin, self.size = codes[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum()))])
+        self.codes, self.begin, self.size = (np.insert(old, place[fresh], x) for old, x in ((self.codes, codes[fresh]), (self.begin, begin), (self.size, size)))
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin and end."""
@@ -64,16 +77,22 @@ class WordTokens:
         return self.ids[place], np.concatenate([[0], ends])[words.first]
 
 
+@cache
+def word_tokens(vocabulary: str) -> WordTokens:
+    """One for all tasks of a worker, so that words met before stay known."""
+    return WordTokens(vocabulary)
+
+
 def _cut(vocabulary: str, with_ids: bool) -> Callable:
     """Pieces of at most LENGTH ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary)
+        tokens = word_tokens(vocabulary)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for rows, data, at in pieces(batch):
-                ids, ends = tokens.encode(Words(data, at, EXACT))
+                ids, ends = tokens.encode(parts_of(data, at))
                 for i, doc in enumerate(docs[rows]):
                     own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(END)).astype("<u4")
                     for start in range(0, len(own), LENGTH):

@@ -11,7 +11,7 @@ from .common import read, remainder
 from .decontaminate import contaminated
 from .forest import nearest
 from .language import identify, learnable
-from .line_dup import drop_recurring_lines
+from .line_dup import LINES_SQL, drop_recurring_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quotes import CHAT_SQL, chat
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op10_chat": CHAT_SQL}
+ORACLES: dict[str, str] = {"op9_line_dedup": LINES_SQL, "op10_chat": CHAT_SQL}

@@ -254,3 +254,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = table(sent.groupBy("kind", "grp").applyInArrow(_trees(n_buckets), "bucket long, blob binary"), "repeats")
     bucket = F.coalesce(F.pmod("doc_id", F.lit(n_buckets)), F.pmod(F.xxhash64("text"), F.lit(n_buckets)))
     return docs.groupBy(bucket.alias("bucket")).cogroup(found.groupBy("bucket")).applyInArrow(_rewritten, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+#: The same over `documents` in DuckDB's SQL.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, k, array_to_string(words[k:k + 12], ' ') AS passage FROM (SELECT *, unnest(range(1, len(words) - 11)) AS k FROM d)),
+f AS (SELECT passage, min(doc_id) AS first FROM w GROUP BY passage),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS pos FROM w JOIN f USING (passage) WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM d),
+o AS (SELECT p.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""

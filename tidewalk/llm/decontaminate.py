@@ -14,14 +14,16 @@ from .common import id_and_text, small_batches
 from .kernel import FOLDED, U, Words, binary, pieces
 
 #: Hashed terms, dimensions of the random sketch and of the latent space, words of a block; a passage is two blocks.
-TERMS, SKETCH, LATENT, BLOCK = 1 << 15, 72, 64, 16
+TERMS, SKETCH, LATENT, BLOCK = 1 << 15, 28, 24, 16
 #: Terms in more than this share of passages carry no weight.
-COMMON = 0.1
+COMMON = 0.03
 #: Least cosine of a candidate; least share of an item's words in common order; least share of its answer's words.
 #: Items under SHORT words fill too little of a passage for COSINE and are candidates from COSINE_SHORT on.
-COSINE, COSINE_SHORT, SHORT, SHARED, ANSWER = 0.42, 0.3, 22, 0.6, 0.5
+COSINE, COSINE_SHORT, SHORT, SHARED, ANSWER = 0.22, 0.1, 22, 0.6, 0.5
+#: A word in at most this many items counts towards the least number of an item's words that a passage must hold.
+RARE = 12
 #: Benchmark items that are searched for in one pass over the documents; more take more passes.
-ITEMS = 5_000
+ITEMS = 1_000
 #: Rows of the term matrix that are added up together; partial sums that one task adds.
 SLAB, FAN = 1024, 64
 
@@ -56,15 +58,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = np.cumsum(per) - per
             inside = np.arange(len(words.code)) - np.repeat(words.first[:-1], words.count)
             passage = np.repeat(base, words.count) + inside // (2 * BLOCK)
-            pairs = np.unique(passage * TERMS + _terms(words))
-            seen += np.bincount(pairs % TERMS, minlength=TERMS)
+            pairs = (passage * TERMS + _terms(words)).astype(np.int64 if per.sum() * TERMS >= 1 << 31 else np.int32)
+            pairs.sort()
+            fresh = np.concatenate([pairs[:1] >= 0, pairs[1:] != pairs[:-1]])
+            seen += np.bincount(pairs[fresh] & (TERMS - 1), minlength=TERMS)
             passages += int(per.sum())
     terms = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1)), pa.array(np.append(seen[terms], passages))], ["term", "n"])
 
 
 def _passage_vectors(words: Words, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Block sums of weighted rows of `basis`, each block's first word and text, and its squared weight."""
+    """Block sums of the rows of `basis` (weights included), each block's first word and text, and its squared weight."""
     begin, text = _blocks(words)
     terms = _terms(words)
     weight = weights[terms]
@@ -74,9 +78,7 @@ def _passage_vectors(words: Words, weights: np.ndarray, basis: np.ndarray) -> tu
     norm = np.zeros(len(begin))
     full = np.flatnonzero(cut[:-1] < cut[1:])
     if len(full):
-        rows = basis[terms[some]]
-        rows *= weight[some, None]
-        sums[full] = np.add.reduceat(rows, cut[:-1][full])
+        sums[full] = np.add.reduceat(basis[terms[some]], cut[:-1][full])
         norm[full] = np.add.reduceat(weight[some].astype(float) ** 2, cut[:-1][full])
     return sums, begin, text, norm
 
@@ -85,16 +87,16 @@ def _range_finder(weights: np.ndarray, test: np.ndarray) -> Callable:
     """One task's share of A' A test for the TF-IDF matrix A of its passages, in slabs of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, SKETCH), np.float32)
+        total, weighted = np.zeros((TERMS, SKETCH), np.float32), test * weights[:, None]
         for batch in batches:
             for _, data, at in pieces(batch):
                 words = words_of(data, at)
-                sums, begin, _, norm = _passage_vectors(words, weights, test)
+                sums, begin, _, norm = _passage_vectors(words, weights, weighted)
                 sums /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)
                 terms = _terms(words)
                 some = np.flatnonzero(weights[terms])
                 block = np.searchsorted(begin, some, "right") - 1
-                by = np.argsort(terms[some], kind="stable")
+                by = np.argsort(terms[some].astype(np.uint16), kind="stable")  # TERMS fit; 16 bits are sorted by radix
                 own = terms[some][by]
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
                 if len(heads):
@@ -117,7 +119,7 @@ def _added(parts: pa.Table) -> pa.Table:
 
 @dataclass
 class Space:
-    """Weights of terms and their latent vectors."""
+    """Weights of terms and their latent vectors, weights included."""
 
     weights: np.ndarray
     basis: np.ndarray
@@ -148,7 +150,7 @@ def latent_space(docs: DataFrame) -> Space:
     top = np.argsort(-values)[:LATENT]
     scale = 1 / np.sqrt(np.maximum(values[top], max(1e-9, np.median(np.abs(values)))))
     basis = (q @ turn[:, top]) * scale
-    return Space(weights, (basis / max(1e-9, np.abs(basis).max())).astype(np.float32))
+    return Space(weights, (basis / max(1e-9, np.abs(basis).max()) * weights[:, None]).astype(np.float32))
 
 
 @dataclass
@@ -158,6 +160,7 @@ class Item:
     item_id: int
     codes: np.ndarray
     answer: np.ndarray
+    listed: list[int]
 
 
 def _items(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
@@ -168,9 +171,9 @@ def _items(rows: list, space: Space) -> tuple[list[Item], np.ndarray]:
         if len(words.code):
             stops = [i for i, c in enumerate(r.text.encode()[: int(words.start[-1])]) if c in b".?!:\n"]
             answer = words.code[words.start > stops[-1]] if stops else words.code[-max(1, len(words.code) // 4) :]
-            items.append(Item(r.item_id, words.code, np.unique(answer)))
+            items.append(Item(r.item_id, words.code, np.unique(answer), words.code.tolist()))
             terms = _terms(words)
-            v = (space.basis[terms] * space.weights[terms][:, None]).sum(0)
+            v = space.basis[terms].sum(0)
             vectors.append(v / max(1e-12, np.linalg.norm(v)))
     return items, np.array(vectors, np.float32).reshape(len(items), -1)
 
@@ -183,8 +186,51 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+class Overlap:
+    """An upper bound of how many of an item's rare words can match around a block, to check only what can be confirmed."""
+
+    def __init__(self, items: list[Item]) -> None:
+        code, item = (np.concatenate(x) for x in zip(*((np.unique(i.codes), np.full(len(np.unique(i.codes)), k)) for k, i in enumerate(items)), strict=True))
+        by = np.argsort(code, kind="stable")
+        code, item = code[by], item[by]
+        self.codes, first, many = np.unique(code, return_index=True, return_counts=True)
+        rare = many <= RARE
+        self.lists = np.full((len(self.codes), RARE), -1)
+        for k in range(RARE):
+            has = rare & (many > k)
+            self.lists[has, k] = item[first[has] + k]
+        self.codes, self.lists = self.codes[rare], self.lists[rare]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.codes >> U(48)] = True
+        common = np.array([(~np.isin(i.codes, self.codes)).sum() for i in items])
+        size = np.array([len(i.codes) for i in items])
+        self.least = np.maximum(np.ceil(SHARED * size - 1e-9) - common, 0).astype(np.uint16)
+        self.reach = -(-size // BLOCK)
+        self.n = len(items)
+
+    def counts(self, words: Words, begin: np.ndarray) -> np.ndarray:
+        """Blocks x items: occurrences of the item's rare words in a passage and the blocks around it that the item can reach."""
+        at = np.flatnonzero(self.maybe[words.code >> U(48)])
+        found = np.minimum(np.searchsorted(self.codes, words.code[at]), max(0, len(self.codes) - 1))
+        good = self.codes[found] == words.code[at] if len(self.codes) else np.zeros(len(at), bool)
+        block = np.searchsorted(begin, at[good], "right") - 1
+        lists = self.lists[found[good]]
+        cells = (block[:, None] * self.n + lists)[lists >= 0]
+        upto = np.zeros((len(begin) + 1, self.n), np.uint16)  # differences hold although sums may wrap
+        keys, many = np.unique(cells, return_counts=True)
+        upto[1:].reshape(-1)[keys] = np.minimum(many, 30_000)
+        np.cumsum(upto, axis=0, dtype=np.uint16, out=upto)
+        i = np.arange(len(begin))
+        out = np.empty((len(begin), self.n), np.uint16)
+        for reach in np.unique(self.reach):
+            own = np.flatnonzero(self.reach == reach)
+            out[:, own] = upto[np.minimum(i + 2 + reach, len(begin))][:, own] - upto[np.maximum(i - reach, 0)][:, own]
+        return out
+
+
 def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
     least = np.array([COSINE_SHORT if len(x.codes) < SHORT else COSINE for x in items], np.float32)
+    overlap = Overlap(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,28 +245,28 @@ def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
                 same = text[1:] == text[:-1]
                 pair[:-1][same] += sums[1:][same]
                 pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-12)[:, None]
-                for lo in range(0, len(pair), 8192):
-                    near = pair[lo : lo + 8192] @ vectors.T
-                    block, item = np.nonzero(near >= least)
-                    cosine = near[block, item]
-                    # a text's best passages of an item first, until one is confirmed
-                    done: set[tuple[int, int]] = set()
-                    for k in np.argsort(-cosine, kind="stable"):
-                        b, i = int(block[k]) + lo, int(item[k])
-                        t = int(text[b])
-                        if (t, i) in done:
-                            continue
-                        own = items[i]
-                        n = len(own.codes)
-                        first = max(int(words.first[t]), int(begin[b]) - n)
-                        region = words.code[first : min(int(words.first[t + 1]), int(begin[b]) + 2 * BLOCK + n)]
-                        if np.isin(own.codes, region).mean() < SHARED:
-                            continue
-                        share = common_in_order(own.codes, region) / n
-                        answered = float(np.isin(own.answer, region).mean())
-                        if share >= SHARED and answered >= ANSWER:
-                            done.add((t, i))
-                            out.append((ids[rows.start + t], own.item_id, float(cosine[k]), share, answered))
+                near = pair @ vectors.T
+                block, item = np.nonzero((near >= least) & (overlap.counts(words, begin) >= overlap.least))
+                cosine = near[block, item]
+                # a text's best passages of an item first, until one is confirmed
+                done: set[tuple[int, int]] = set()
+                for k in np.argsort(-cosine, kind="stable"):
+                    b, i = int(block[k]), int(item[k])
+                    t = int(text[b])
+                    if (t, i) in done:
+                        continue
+                    own = items[i]
+                    n = len(own.codes)
+                    first = max(int(words.first[t]), int(begin[b]) - n)
+                    region = words.code[first : min(int(words.first[t + 1]), int(begin[b]) + 2 * BLOCK + n)]
+                    near_words = set(region.tolist())
+                    if sum(c in near_words for c in own.listed) < SHARED * n:
+                        continue
+                    share = common_in_order(own.codes, region) / n
+                    answered = float(np.isin(own.answer, region).mean())
+                    if share >= SHARED and answered >= ANSWER:
+                        done.add((t, i))
+                        out.append((ids[rows.start + t], own.item_id, float(cosine[k]), share, answered))
             columns = zip(*out, strict=True) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
@@ -232,8 +278,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: the documents that hold a benchmark item, one row a pair.
 
     Passages are 32 words at every 16th; those whose latent vector is near an item's are candidates. A candidate is
-    confirmed if 60 % of the item's words stand in the same order around the passage and half of the words of the
-    item's answer (its last sentence) do too. Items are searched for in blocks of 5,000, each by a pass over all
+    confirmed, where enough of the item's rare words are near at all, if 60 % of the item's words stand in the same order around the passage and half of the words of the
+    item's answer (its last sentence) do too. Items are searched for in blocks of 1,000, each by a pass over all
     documents.
 
     Null, empty or wordless texts and items match nothing, nor do null ids. Repeated rows give one row a pair, with the best

@@ -68,3 +68,6 @@ WEEKLY = Params(
     regime_history_days=420, stale_max=26, n_factors=3, pca_window=52, reg_window=26, min_names=10, factor_min_adv=0.0, mu_refit=13, mu_warmup=26,
     mu_min_count=20, periods_per_year=52, half_life_days=60.0,
 )
+MONTHLY = Params(
+    min_is_rows=30, min_oos_rows=8, first_year=1995, last_year=2001, min_adv=0.0, min_obs=24, half_life_min=0.0, beta_min=0.0, periods_per_year=12,
+)

@@ -24,7 +24,15 @@ def query(name: str, *sql: str) -> Callable[[Query], Query]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a2_pair_book_metrics"](spark, sf_dir)
+    """Metrics of the walk-forward pair book of suppliers, by method and fold."""
+    from .operators import pnl
+    from .params import MONTHLY
+    from .plans import pairs_book
+    from .sources import panels
+
+    prices = panels.supplier_panel(spark, sf_dir)
+    rows = pairs_book.traded(prices, pairs_book.scan(prices, MONTHLY), MONTHLY, use_regime=False)
+    return pnl.metrics(pairs_book.books(rows), ["method", "fold"], turnover="turnover", per_year=MONTHLY.periods_per_year)
 
 
 from . import queries as _queries  # noqa: E402,F401 - fills the tables above

@@ -18,6 +18,13 @@ def brand_panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFra
     return lines.join(parts, "l_partkey").groupBy("symbol", "date").agg((value / F.sum("l_quantity")).alias("close"), value.alias("dollar_volume"))
 
 
+def supplier_panel(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """The same of each supplier; dense even in the smallest tables."""
+    lines = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("symbol"), F.date_trunc(unit, "l_shipdate").cast("date").alias("date"), "l_quantity", "l_extendedprice")
+    value = F.round(F.sum("l_extendedprice"), 2)
+    return lines.groupBy("symbol", "date").agg((value / F.sum("l_quantity")).alias("close"), value.alias("dollar_volume"))
+
+
 def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
     """symbol, ts, close (last value), high, low, volume of each event type and period; ties go to the larger event id."""
     events = load(spark, sf_dir, "events").where("value IS NOT NULL")

@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document stands for its component."""
+    """The rows of `docs` whose document stands for its component; rows that repeat its id all stay, as do null ids."""
     keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -103,7 +104,7 @@ def _range_finder(weights: np.ndarray, test: np.ndarray) -> Callable:
                     total[own[heads]] += np.add.reduceat(sums[block[by]], heads) * weights[own[heads], None]
         if total.any():
             slabs = np.arange(TERMS // SLAB)
-            salt = np.random.default_rng().integers(0, FAN)
+            salt = zlib.crc32(total[:SLAB].tobytes()) % FAN  # from the data, so a task that runs again sends the same rows
             yield pa.RecordBatch.from_arrays([pa.array(slabs), pa.array(np.full(len(slabs), salt)), binary([total[s * SLAB : (s + 1) * SLAB].tobytes() for s in slabs])], ["slab", "salt", "part"])
 
     return run
@@ -187,7 +188,10 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Overlap:
-    """An upper bound of how many of an item's rare words can match around a block, to check only what can be confirmed."""
+    """An upper bound of how many of an item's rare words can match around a block, to check only what can be confirmed.
+
+    Items come in the order of their length.
+    """
 
     def __init__(self, items: list[Item]) -> None:
         code, item = (np.concatenate(x) for x in zip(*((np.unique(i.codes), np.full(len(np.unique(i.codes)), k)) for k, i in enumerate(items)), strict=True))
@@ -220,15 +224,18 @@ class Overlap:
         keys, many = np.unique(cells, return_counts=True)
         upto[1:].reshape(-1)[keys] = np.minimum(many, 30_000)
         np.cumsum(upto, axis=0, dtype=np.uint16, out=upto)
-        i = np.arange(len(begin))
-        out = np.empty((len(begin), self.n), np.uint16)
+        n, most = len(begin), int(self.reach.max())
+        padded = np.concatenate([np.repeat(upto[:1], most, 0), upto, np.repeat(upto[-1:], most + 2, 0)])
+        out = np.empty((n, self.n), np.uint16)
         for reach in np.unique(self.reach):
-            own = np.flatnonzero(self.reach == reach)
-            out[:, own] = upto[np.minimum(i + 2 + reach, len(begin))][:, own] - upto[np.maximum(i - reach, 0)][:, own]
+            own = slice(*np.searchsorted(self.reach, [reach, reach + 1]))
+            out[:, own] = padded[most + 2 + reach : most + 2 + reach + n, own] - padded[most - reach : most - reach + n, own]
         return out
 
 
 def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
+    by_length = sorted(range(len(items)), key=lambda i: len(items[i].codes))
+    items, vectors = [items[i] for i in by_length], vectors[by_length]
     least = np.array([COSINE_SHORT if len(x.codes) < SHORT else COSINE for x in items], np.float32)
     overlap = Overlap(items)
 

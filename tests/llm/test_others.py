@@ -87,3 +87,10 @@ def test_common_subsequence():
     for _ in range(50):
         a, b = rng.integers(0, 6, 12), rng.integers(0, 6, 20)
         assert common_in_order(a, b) == plain(a, b)
+
+
+def test_an_item_in_a_third_of_short_documents_is_found(spark):
+    item = " ".join(words(7, 24)) + ". The answer is w7x."
+    rows = [(i, " ".join(words(1000 + i, 30) + (item.split() if i % 3 == 0 else []) + words(2000 + i, 20)), "en", 1, 2, 3, "g") for i in range(90)]
+    found = contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(0, 90, 3))

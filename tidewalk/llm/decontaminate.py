@@ -21,7 +21,9 @@ COMMON = 0.03
 #: Least cosine of a candidate; least share of an item's words in common order; least share of its answer's words.
 #: Items under SHORT words fill too little of a passage for COSINE and are candidates from COSINE_SHORT on.
 COSINE, COSINE_SHORT, SHORT, SHARED, ANSWER = 0.22, 0.1, 22, 0.6, 0.5
-#: A word in at most this many items counts towards the least number of an item's words that a passage must hold.
+#: An item with less than this share of its words weighted has no vector to go by: the overlap bound alone makes candidates.
+WEIGHTED = 0.75
+#: Words in at most this many items are counted sparsely in the overlap bound, all others densely.
 RARE = 12
 #: Benchmark items that are searched for in one pass over the documents; more take more passes.
 ITEMS = 1_000
@@ -37,8 +39,12 @@ def words_of(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(data, at, FOLDED, _BETWEEN)
 
 
+def _code_terms(code: np.ndarray) -> np.ndarray:
+    return (code >> U(64 - TERMS.bit_length() + 1)).astype(np.int64)
+
+
 def _terms(words: Words) -> np.ndarray:
-    return (words.code >> U(64 - TERMS.bit_length() + 1)).astype(np.int64)
+    return _code_terms(words.code)
 
 
 def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +194,7 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Overlap:
-    """An upper bound of how many of an item's rare words can match around a block, to check only what can be confirmed.
+    """An upper bound of how many of an item's words can match around a block, to check only what can be confirmed.
 
     Items come in the order of their length.
     """
@@ -203,12 +209,14 @@ class Overlap:
         for k in range(RARE):
             has = rare & (many > k)
             self.lists[has, k] = item[first[has] + k]
+        self.often = self.codes[~rare]
+        self.repeats = np.array([[(i.codes == c).sum() for i in items] for c in self.often], np.float32).reshape(len(self.often), len(items))
         self.codes, self.lists = self.codes[rare], self.lists[rare]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.codes >> U(48)] = True
-        common = np.array([(~np.isin(i.codes, self.codes)).sum() for i in items])
         size = np.array([len(i.codes) for i in items])
-        self.least = np.maximum(np.ceil(SHARED * size - 1e-9) - common, 0).astype(np.uint16)
+        self.needed = np.ceil(SHARED * size - 1e-9)
+        self.least = np.maximum(self.needed - self.repeats.sum(0), 0).astype(np.uint16)
         self.reach = -(-size // BLOCK)
         self.n = len(items)
 
@@ -232,11 +240,34 @@ class Overlap:
             out[:, own] = padded[most + 2 + reach : most + 2 + reach + n, own] - padded[most - reach : most - reach + n, own]
         return out
 
+    def possible(self, words: Words, begin: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block and an item, of those marked in `near`, that can be confirmed: rare words as often as they occur, others once for each of the item's own."""
+        counts = self.counts(words, begin)
+        block, item = np.nonzero(near & (counts >= self.least))
+        if not len(self.often) or not len(block):
+            return block, item
+        found = np.minimum(np.searchsorted(self.often, words.code), len(self.often) - 1)
+        at = np.flatnonzero(self.often[found] == words.code)
+        here = np.zeros((len(begin), len(self.often)), bool)
+        here[np.searchsorted(begin, at, "right") - 1, found[at]] = True
+        upto = np.zeros((len(begin) + 1, len(self.often)), np.int32)
+        np.cumsum(here, axis=0, out=upto[1:])
+        total = counts[block, item].astype(float)
+        for reach in np.unique(self.reach[item]):
+            own = np.flatnonzero(self.reach[item] == reach)
+            rows, row = np.unique(block[own], return_inverse=True)
+            columns, column = np.unique(item[own], return_inverse=True)
+            around = upto[np.minimum(rows + 2 + reach, len(begin))] > upto[np.maximum(rows - reach, 0)]
+            total[own] += (around.astype(np.float32) @ self.repeats[:, columns])[row, column]
+        good = total >= self.needed[item]
+        return block[good], item[good]
+
 
 def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
     by_length = sorted(range(len(items)), key=lambda i: len(items[i].codes))
     items, vectors = [items[i] for i in by_length], vectors[by_length]
     least = np.array([COSINE_SHORT if len(x.codes) < SHORT else COSINE for x in items], np.float32)
+    least[[(space.weights[_code_terms(x.codes)] > 0).mean() < WEIGHTED for x in items]] = -2
     overlap = Overlap(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +284,7 @@ def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
                 pair[:-1][same] += sums[1:][same]
                 pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-12)[:, None]
                 near = pair @ vectors.T
-                block, item = np.nonzero((near >= least) & (overlap.counts(words, begin) >= overlap.least))
+                block, item = overlap.possible(words, begin, near >= least)
                 cosine = near[block, item]
                 # a text's best passages of an item first, until one is confirmed
                 done: set[tuple[int, int]] = set()
@@ -284,10 +315,11 @@ def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: the documents that hold a benchmark item, one row a pair.
 
-    Passages are 32 words at every 16th; those whose latent vector is near an item's are candidates. A candidate is
-    confirmed, where enough of the item's rare words are near at all, if 60 % of the item's words stand in the same order around the passage and half of the words of the
-    item's answer (its last sentence) do too. Items are searched for in blocks of 1,000, each by a pass over all
-    documents.
+    Passages are 32 words at every 16th; those whose latent vector is near an item's are candidates. Items of which a
+    quarter of the words or more carry no weight are compared with every passage. A candidate is confirmed, where
+    enough of the item's words are near at all, if 60 % of the item's words stand in the same order around the passage
+    and half of the words of the item's answer (its last sentence) do too. Items are searched for in blocks of 1,000,
+    each by a pass over all documents.
 
     Null, empty or wordless texts and items match nothing, nor do null ids. Repeated rows give one row a pair, with the best
     figures. Other columns are ignored; an empty table on either side gives no rows.

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -94,3 +95,19 @@ def test_an_item_in_a_third_of_short_documents_is_found(spark):
     rows = [(i, " ".join(words(1000 + i, 30) + (item.split() if i % 3 == 0 else []) + words(2000 + i, 20)), "en", 1, 2, 3, "g") for i in range(90)]
     found = contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {r.doc_id for r in found.collect()} == set(range(0, 90, 3))
+
+
+def test_paraphrases_are_found_wherever_the_subsequence_rule_holds(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(3_000).toPandas().text if t]
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    pool, rows, want = " ".join(texts[:500]).split(), list(enumerate(texts)), set()
+    for k, (item, text) in enumerate(items * 2):
+        own, last = text.split(), len(re.split(r"[.?!:\n]", text.strip().rstrip(".?!:"))[-1].split())
+        keep = {*range(len(own) - last, len(own)), *rng.choice(len(own) - last, max(0, min(len(own) - last, int(np.ceil(0.6 * len(own))) - last + 1)), replace=False).tolist()}
+        loose = [x for i, w in enumerate(own) for x in (w if i in keep else pool[rng.integers(len(pool))], pool[rng.integers(len(pool))])]
+        host = texts[k].split()
+        rows.append((100_000 + k, " ".join(host[: len(host) // 2] + loose + host[len(host) // 2 :])))
+        want.add((100_000 + k, item))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in found.collect()}

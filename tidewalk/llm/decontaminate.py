@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: latent semantic search, then longest common subsequence and answer checks."""
+"""Benchmark passages in documents: overlap bound in latent order, then longest common subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -18,11 +18,8 @@ from .kernel import FOLDED, U, Words, binary, pieces
 TERMS, SKETCH, LATENT, BLOCK = 1 << 15, 28, 24, 16
 #: Terms in more than this share of passages carry no weight.
 COMMON = 0.03
-#: Least cosine of a candidate; least share of an item's words in common order; least share of its answer's words.
-#: Items under SHORT words fill too little of a passage for COSINE and are candidates from COSINE_SHORT on.
-COSINE, COSINE_SHORT, SHORT, SHARED, ANSWER = 0.22, 0.1, 22, 0.6, 0.5
-#: An item with less than this share of its words weighted has no vector to go by: the overlap bound alone makes candidates.
-WEIGHTED = 0.75
+#: Least share of an item's words in common order; least share of its answer's words.
+SHARED, ANSWER = 0.6, 0.5
 #: Words in at most this many items are counted sparsely in the overlap bound, all others densely.
 RARE = 12
 #: Benchmark items that are searched for in one pass over the documents; more take more passes.
@@ -39,12 +36,8 @@ def words_of(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(data, at, FOLDED, _BETWEEN)
 
 
-def _code_terms(code: np.ndarray) -> np.ndarray:
-    return (code >> U(64 - TERMS.bit_length() + 1)).astype(np.int64)
-
-
 def _terms(words: Words) -> np.ndarray:
-    return _code_terms(words.code)
+    return (words.code >> U(64 - TERMS.bit_length() + 1)).astype(np.int64)
 
 
 def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +233,10 @@ class Overlap:
             out[:, own] = padded[most + 2 + reach : most + 2 + reach + n, own] - padded[most - reach : most - reach + n, own]
         return out
 
-    def possible(self, words: Words, begin: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a block and an item, of those marked in `near`, that can be confirmed: rare words as often as they occur, others once for each of the item's own."""
+    def possible(self, words: Words, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block and an item that can be confirmed: rare words as often as they occur, others once for each of the item's own."""
         counts = self.counts(words, begin)
-        block, item = np.nonzero(near & (counts >= self.least))
+        block, item = np.nonzero(counts >= self.least)
         if not len(self.often) or not len(block):
             return block, item
         found = np.minimum(np.searchsorted(self.often, words.code), len(self.often) - 1)
@@ -266,8 +259,6 @@ class Overlap:
 def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
     by_length = sorted(range(len(items)), key=lambda i: len(items[i].codes))
     items, vectors = [items[i] for i in by_length], vectors[by_length]
-    least = np.array([COSINE_SHORT if len(x.codes) < SHORT else COSINE for x in items], np.float32)
-    least[[(space.weights[_code_terms(x.codes)] > 0).mean() < WEIGHTED for x in items]] = -2
     overlap = Overlap(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +275,7 @@ def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
                 pair[:-1][same] += sums[1:][same]
                 pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-12)[:, None]
                 near = pair @ vectors.T
-                block, item = overlap.possible(words, begin, near >= least)
+                block, item = overlap.possible(words, begin)
                 cosine = near[block, item]
                 # a text's best passages of an item first, until one is confirmed
                 done: set[tuple[int, int]] = set()
@@ -315,11 +306,11 @@ def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: the documents that hold a benchmark item, one row a pair.
 
-    Passages are 32 words at every 16th; those whose latent vector is near an item's are candidates. Items of which a
-    quarter of the words or more carry no weight are compared with every passage. A candidate is confirmed, where
-    enough of the item's words are near at all, if 60 % of the item's words stand in the same order around the passage
-    and half of the words of the item's answer (its last sentence) do too. Items are searched for in blocks of 1,000,
-    each by a pass over all documents.
+    Passages are 32 words at every 16th; those with enough of an item's words around them to be confirmed at all are
+    candidates, the nearest by the cosine of latent vectors first. A candidate is confirmed if 60 % of the item's words
+    stand in the same order around the passage and half of the words of the item's answer (its last sentence) do too.
+    The cosine drops nothing; it is 0 where no word carries weight. Items are searched for in blocks of 1,000, each by
+    a pass over all documents.
 
     Null, empty or wordless texts and items match nothing, nor do null ids. Repeated rows give one row a pair, with the best
     figures. Other columns are ignored; an empty table on either side gives no rows.

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -26,6 +27,27 @@ def test_language_of_awkward_rows(spark):
     assert {r.lang_pred for r in identify(frame, learnable(frame).limit(0)).collect()} == {"und"}
 
 
+def test_narrow_margins_are_rejected_and_clean_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, held = random.Random(5), [(r.lang, r.text) for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) >= 400 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    clean = [x for _, t in held for x in (t, t[:150])]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (120, 300, 600, 1200) for _ in range(50)]
+    by = {lang: [t.split() for x, t in held if x == lang] for lang in {x for x, _ in held}}
+    mixed = []
+    for _ in range(200):
+        a, b = rng.sample(sorted(by), 2)
+        mixed.append(" ".join(w for z in zip(rng.choice(by[a])[:60], rng.choice(by[b])[:60]) for w in z))  # noqa: B905
+    rows = [(i, t) for i, t in enumerate(clean + junk + mixed)]
+    out = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string"), learnable(docs)).collect()}
+    share = lambda a, b: sum(out[i].rejected for i in range(a, b)) / (b - a)
+    n = len(clean)
+    assert share(0, n) <= 0.01 and share(n, n + 200) >= 0.7 and share(n + 200, n + 400) >= 0.1
+    # with equal dictionaries every text is an exact tie, whatever its length
+    twins = spark.createDataFrame([(i, held[0][1], lang) for i in range(3) for lang in "ab"], "doc_id long, text string, lang string")
+    tied = identify(spark.createDataFrame(rows[:20], "doc_id long, text string"), twins).collect()
+    assert all(r.rejected and r.margin == 0 for r in tied)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     out = score_toxicity(docs, labels).join(labels, "doc_id").toPandas()

@@ -18,8 +18,9 @@ SAMPLE, DICTIONARY, LANGUAGES = 200, 96_000, 60
 #: Bytes compressed at a time, so that a text's own words don't outweigh the dictionary's.
 STEP = 1024
 LEVEL = 9
-#: A language is rejected if its bytes are within this share of the runner-up's; below SHORT bytes of text nothing is.
-MARGIN, SHORT = 0.0015, 200
+#: A language is rejected if its bytes are within this share of the runner-up's. On sf0.1 0.8 % of the held-out documents
+#: (most under 60 bytes) and of their beginnings are, of random letters 74 % (120 bytes) to all (1,200), of two languages 20 to 34 %.
+MARGIN = 0.02
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -69,6 +70,7 @@ def _sizes(content: dict[str, bytes]) -> Callable:
                 raw = text.encode()
                 parts = [raw[i : i + STEP] for i in range(0, len(raw), STEP)]
                 sizes = np.array([sum(len(w.compress(x)) for x in parts) for w in writers], float)
+                margins.append(float(np.partition(sizes, 1)[1] / sizes.min() - 1) if len(names) > 1 else 1.0)
                 tied = np.flatnonzero(sizes == sizes.min())
                 if len(tied) > 1:  # too short to tell by whole bytes: how often its words stand in the dictionaries
                     words = [b" " + w + b" " for w in raw.split()]
@@ -78,8 +80,7 @@ def _sizes(content: dict[str, bytes]) -> Callable:
                 over = sizes - sizes[best]
                 langs.append(names[best])
                 scores.append(float(1 / np.exp(-np.minimum(over, 60) * min(1.0, 40 / len(parts) ** 0.5 / 8)).sum()))
-                margins.append(float(np.partition(over, 1)[1] / sizes[best]) if len(names) > 1 else 1.0)
-                narrow.append(len(raw) >= SHORT and margins[-1] < MARGIN)
+                narrow.append(margins[-1] < MARGIN)
             columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(narrow, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
@@ -90,8 +91,9 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, lang_pred, score, margin, rejected.
 
     Every text is cut into pieces of 1 KB, each compressed with each language's raw-content dictionary; the language
-    of the smallest sum is predicted, ties to the first by name. `score` falls with the bytes the runners-up are
-    away; `rejected` marks texts without a letter and those of 200 bytes or more whose margin is narrow.
+    of the smallest sum is predicted, ties to the one whose dictionary has the text's words most often. `score` falls
+    with the bytes the runners-up are away; `rejected` marks texts without a letter and those of any length whose
+    margin, 0 for a tie, is narrow.
 
     Null, empty or letterless texts are `und`, score 0, rejected. Without labelled documents all are `und`. Null ids
     and repeated rows are predicted row by row; other columns are ignored; an empty table gives no rows.

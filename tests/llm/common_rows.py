@@ -20,3 +20,9 @@ def documents():
     rows += [rows[0], (None, " ".join(base), "en", 1, 2, 3, "g"), (-7, " ".join(words(4, 40) + base[:40]), None, None, None, None, None)]
     rows += [(1000 + i, " ".join(base[:-1] + [f"copy{i}"]), "en", 1, 2, 3, "g") for i in range(30)]
     return rows
+
+
+def twins(order):
+    """Two words of 2**order letters, the Thue-Morse word and its complement: codes that are polynomials over 2**64 coincide."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << order)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

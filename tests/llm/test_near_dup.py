@@ -5,9 +5,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewalk.llm.graph import components
-from tidewalk.llm.near_dup import near_duplicates, registers, similarity, without_near_duplicates
+from tidewalk.llm.near_dup import _classes, near_duplicates, registers, similarity, without_near_duplicates
 
-from .common_rows import SCHEMA, documents
+from .common_rows import SCHEMA, documents, twins
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -79,3 +79,33 @@ def test_filter_keeps_columns_and_empty_table(spark):
     frame = spark.createDataFrame(documents(), SCHEMA)
     assert without_near_duplicates(frame).columns == frame.columns
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    rows = [(2 * k + i, " ".join(f"{word} {x}" for x in "pqrst")) for k, order in enumerate((3, 10, 12)) for i, word in enumerate(twins(order))]
+    assert all(r.component_id == r.doc_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_sets_that_share_a_key_stay_apart(spark):
+    rows = [(1, 11, 5, 7, 70, b"a"), (2, 12, 5, 7, 70, b"a"), (3, 13, 6, 7, 71, b"b"), (4, 14, 9, 8, 80, b"c"), (5, 15, 0, None, None, None)]
+    rows, classes = _classes(spark.createDataFrame(rows, "doc_id long, t long, n long, key long, check long, regs binary"))
+    assert sorted((r.rep.doc_id, r.n) for r in classes.collect()) == [(1, 5), (3, 6), (4, 9)]
+    by = {r.doc_id: r.key for r in rows.collect()}
+    assert by[1] == by[2] != by[3] and by[5] is None
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, None), (10, c), (10, ""), (12, c)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(3, 26, 3), (5, 0, 5), (5, 26, 3), (5, 26, 3), (9, 26, 3), (10, 0, 10), (10, 26, 10), (12, 26, 10)]
+
+
+def test_links_at_the_limit_are_found(spark):
+    rng, rows = np.random.default_rng(12), []
+    for k in range(300):  # 42 shared of 56 shingles
+        base = [f"v{x}" for x in rng.choice(10**6, 53, replace=False)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[7:] + [f"x{k}y{i}" for i in range(7)]))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_force(rows)
+    assert sum(r.component_id != r.doc_id for r in out) == 300

@@ -1,4 +1,4 @@
-"""Session settings, tables in the cluster's shared folder, and id/text preparation."""
+"""Tables in the cluster's shared folder, and id/text preparation."""
 
 from __future__ import annotations
 
@@ -9,25 +9,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of texts that one Arrow batch holds at most; keeps a Python worker's memory flat for long texts.
-ARROW_ROWS = 256
+#: Folders made where the session names none, by application.
+_own: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows; Spark's default of 10,000 long texts would not fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none (tests)."""
+    """The folder all executors share. Where the session names none, one of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewalk-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tidewalk-')}")
     return found.rstrip("/")
 
 

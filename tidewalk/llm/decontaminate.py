@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches
+from .common import id_and_text
 from .kernel import FOLDED, U, Words, binary, pieces
 
 #: Hashed terms, dimensions of the random sketch and of the latent space, words of a block; a passage is two blocks.
@@ -316,7 +316,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     figures. Other columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = id_and_text(docs).where("doc_id IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     kinds = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"

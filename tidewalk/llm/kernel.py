@@ -1,20 +1,22 @@
 """Words of whole texts as 64-bit codes, for many texts at a time with NumPy.
 
-Words are maximal runs of bytes other than ASCII space and 09-0D. A word's code is a polynomial over a random
-64-bit value per byte, finished by a mixing step, so equal words have equal codes wherever they stand and different
-words share one with odds of about 2**-64.
+Words are maximal runs of bytes other than ASCII space and 09-0D. A word's code mixes its length and its bytes, eight
+at a time, through multiply-and-shift rounds (words over LONG bytes: BLAKE2), so equal words have equal codes wherever
+they stand, and different ones share a code with odds of about 2**-64, however regular they are. `checks` gives 64 more
+bits for where that isn't enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_BACK = U(pow(int(_BASE), -1, 1 << 64))
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Bytes of text that are worked on at a time (a longer text is taken whole).
 STEP = 1 << 20
 
@@ -36,21 +38,26 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-EXACT = stream(11, 256)
+#: What each byte counts as: itself, or its lower-case form in A-Z.
+EXACT = np.arange(256, dtype=np.uint8)
 FOLDED = EXACT.copy()
 FOLDED[65:91] = EXACT[97:123]
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
-_powers: dict[str, np.ndarray] = {}
 
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        m = max(n, STEP + 1)
-        for name, b in (("up", _BASE), ("down", _BACK)):
-            x = np.full(m, b, U)
-            x[0] = U(1)
-            _powers[name] = np.cumprod(x, dtype=U)
-    return _powers["up"], _powers["down"]
+def _hashed(eights: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """Codes of byte runs of at most LONG bytes; eights[i] is the eight bytes from i on."""
+    factor, seed = stream(salt, LONG // 8 + 1), stream(salt + 50, LONG + 1)
+    code = mix((eights[start] & _FIRST[np.minimum(size, 8)]) ^ seed[size])
+    more = np.flatnonzero(size > 8)
+    for k in range(1, LONG // 8):
+        if not len(more):
+            break
+        next_bytes = eights[start[more] + 8 * k] & _FIRST[np.minimum(size[more] - 8 * k, 8)]
+        code[more] = mix(code[more] * factor[k] + next_bytes)
+        more = more[size[more] > 8 * (k + 1)]
+    return code
 
 
 class Words:
@@ -75,18 +82,30 @@ class Words:
         begins[1:n] = ~space[1:] & (space[:-1] | edge[1:n])
         ends[1:n] = ~space[:-1] & (space[1:] | edge[1:n])
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
-        up, down = _power(n + 1)
-        self._total, self._down = np.zeros(n + 1, U), down
-        np.cumsum(table[data] * up[:n], out=self._total[1:])
-        self.code = mix((self._total[self.end] - self._total[self.start]) * down[self.start])
+        self._folded = np.zeros(n + LONG + 8, np.uint8)
+        np.take(table, data, out=self._folded[:n])
+        self._eights = np.ndarray((n + LONG,), np.dtype("<u8"), self._folded, strides=(1,))
+        self.code = self._codes(31)
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
 
+    def _codes(self, salt: int) -> np.ndarray:
+        size = self.end - self.start
+        long = np.flatnonzero(size > LONG)
+        code = _hashed(self._eights, self.start, np.minimum(size, LONG), salt)
+        for i in long.tolist():
+            digest = hashlib.blake2b(self._folded[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+            code[i] = int.from_bytes(digest.digest(), "little")
+        return code
+
+    def checks(self) -> np.ndarray:
+        """A second code of each word, independent of the first."""
+        return self._codes(41)
+
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the first `size` bytes of the words that are longer, and those words' indexes."""
+        """Codes of the first `size` (at most 8) bytes of the words that are longer, and those words' indexes."""
         at = np.flatnonzero(self.end - self.start > size)
-        begin = self.start[at]
-        return mix((self._total[begin + size] - self._total[begin]) * self._down[begin]), at
+        return mix((self._eights[self.start[at]] & _FIRST[size]) ^ stream(61, size)[-1]), at
 
     def windows(self, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of every run of `width` words inside one text, and the index of its first word."""

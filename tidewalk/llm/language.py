@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, remainder, small_batches
+from .common import id_and_text, remainder
 
 #: Training: documents a language, bytes of each one's dictionary, languages at most (the commonest).
 SAMPLE, DICTIONARY, LANGUAGES = 200, 96_000, 60
@@ -98,7 +98,6 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     Null, empty or letterless texts are `und`, score 0, rejected. Without labelled documents all are `und`. Null ids
     and repeated rows are predicted row by row; other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     content = dictionaries(labelled)
     return id_and_text(docs).mapInArrow(_sizes(content), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, id_and_text, small_batches, table
+from .common import drop_table, id_and_text, table
 from .graph import components
 from .kernel import FOLDED, U, Words, binary, mix, pieces, stream
 
@@ -22,8 +22,8 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65_534
 #: Pairs that the registers put below this similarity are not checked further: over four standard errors under 0.75.
 ESTIMATE = 0.58
-#: Documents of a block that meets other blocks in one task.
-BLOCK = 64
+#: Documents, and shingles, of a block that meets other blocks in one task (a longer document is a block's own share).
+BLOCK, BLOCK_SHINGLES = 64, 400_000
 _LOW = (stream(101, REGISTERS) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _HIGH = (stream(102, REGISTERS) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
@@ -42,10 +42,10 @@ def shingle_sets(words: Words) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def set_key(codes: np.ndarray) -> int:
-    """A 64-bit fingerprint of a whole shingle set."""
-    both = np.array([mix(codes).sum(dtype=U), np.bitwise_xor.reduce(codes) + U(len(codes))], U)
-    return int((mix(both) * stream(9, 2)).sum(dtype=U).astype(np.int64))
+def set_keys(codes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit fingerprints of a whole shingle set."""
+    both = np.array([mix(codes).sum(dtype=U), mix(codes ^ U(len(codes) + 1)).sum(dtype=U)], U)
+    return tuple((mix(both * stream(seed, 2)) * stream(seed + 10, 2)).sum(dtype=U).astype(np.int64).item() for seed in (9, 29))
 
 
 def registers(codes: np.ndarray) -> np.ndarray:
@@ -78,9 +78,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in pieces(batch):
             for codes in shingle_sets(Words(data, at, FOLDED)):
                 sizes.append(len(codes))
-                keys.append(set_key(codes) if len(codes) else None)
+                keys.append(set_keys(codes) if len(codes) else (None, None))
                 regs.append(registers(codes).tobytes() if len(codes) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), binary(regs)], ["doc_id", "n", "key", "regs"])
+        key, check = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(sizes, pa.int64()), key, check, binary(regs)], ["doc_id", "t", "n", "key", "check", "regs"])
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -176,16 +177,21 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _texts(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text (key, text) of each class; an id alone doesn't tell which, as rows can repeat it."""
+    reps = classes.join(keys, "key").select("key", "rep.doc_id", "rep.t")
+    return table(docs.join(reps, ["doc_id", "t"]).dropDuplicates(["key"]).select("key", "text"), "texts")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of class keys (u, v) whose representatives' full shingle sets are similar enough."""
     pairs = table(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = docs.join(classes.join(ends, "key").select(F.col("rep").alias("doc_id"), "key"), "doc_id").select("key", "text")
-    texts = table(texts, "texts")
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), classes, docs)
     joined = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("text_u")), "u")
     joined = joined.join(texts.select(F.col("key").alias("v"), F.col("text").alias("text_v")), "v")
     found = table(joined.sortWithinPartitions("v").mapInArrow(_verify, "u long, v long").distinct(), "confirmed")
     drop_table(texts)
+    drop_table(pairs)
     return found
 
 
@@ -203,28 +209,53 @@ def _with_main(cells: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 
     Full sets are compared inside a task, block against block, so the pairs that fail are never rows.
     """
-    spark = docs.sparkSession
     blocks = []
     for side, own in (("probes", "root <> main"), ("targets", "root = main")):
-        ends = cells.where(own).select("key", "main").distinct()
-        size = ends.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias(f"n_{side}"))
+        ends = cells.where(own).select("key", "main").distinct().join(classes.select("key", "n"), "key")
+        size = ends.groupBy("main").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias(f"n_{side}"))
         blocks.append((table(ends, side), size))
     (probes, _), (targets, n_targets) = blocks
     keys = probes.select("key").union(targets.select("key")).distinct()
-    texts = table(docs.join(classes.join(keys, "key").select(F.col("rep").alias("doc_id"), "key"), "doc_id").select("key", "text"), "texts")
+    texts = _texts(keys, classes, docs)
     packed = []
     for side, (ends, size) in zip(("probes", "targets"), blocks, strict=True):
         dealt = ends.join(size, "main").withColumn("block", F.pmod(F.xxhash64("key"), F.col(f"n_{side}"))).join(texts, "key")
         packed.append(dealt.groupBy("main", "block").agg(F.collect_list(F.struct("key", "text")).alias(side)))
     left = packed[0].join(n_targets, "main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_targets") - 1)))
     pairs = left.join(packed[1], ["main", "block"]).select("probes", "targets")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds up to 2 * BLOCK texts
     found = table(pairs.mapInArrow(_against, "u long, v long"), "main")
-    small_batches(spark)
-    drop_table(texts)
+    for done in (texts, probes, targets):
+        drop_table(done)
     return found
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches and one row a class: key, n, regs and rep (its smallest doc_id, and that text's hash).
+
+    A class is a set of shingles, told by 128 bits: sets that share `key` but not `check` get keys of their own.
+    """
+    while True:
+        known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
+        both = [F.min("check").alias("lo"), F.max("check").alias("hi")]
+        classes = table(known.groupBy("key").agg(*both, F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+        clash = classes.where("lo <> hi").select("key", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            return rows, classes.drop("lo", "hi")
+        rows = rows.join(clash, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("clash")
+        rows = table(rows, "sketches")
+
+
+def _by_id(links: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between the classes' smallest doc_ids, and between the classes that one doc_id has."""
+    ids = classes.select("key", F.col("rep.doc_id").alias("id"))
+    own = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
+    several = own.groupBy("doc_id").agg(F.min("key").alias("u"), F.max("key").alias("v")).where("u <> v")
+    links = links.union(own.join(several.select("doc_id", "u"), "doc_id").select("u", F.col("key").alias("v")).where("u <> v"))
+    for side in ("u", "v"):
+        links = links.join(ids.withColumnRenamed("key", side), side).drop(side).withColumnRenamed("id", side)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -236,13 +267,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full sets. A pair at similarity 0.75 misses all bands with odds of 5 in a million, less above.
 
     Null or wordless texts: 0 shingles, linked with nothing, kept. Null doc_id: returned with null component, kept.
-    Repeated rows of an id fall into that id's component. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat an id, with whatever texts, are one document: those with words share a component. Other columns
+    are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = id_and_text(docs)
-    rows = table(docs.mapInArrow(_sketch, "doc_id long, n long, key long, regs binary"), "sketches")
-    classes = table(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    docs = id_and_text(docs).withColumn("t", F.xxhash64("text"))
+    rows = table(docs.mapInArrow(_sketch, "doc_id long, t long, n long, key long, check long, regs binary"), "sketches")
+    rows, classes = _classes(rows)
     band = classes.select("key", "regs").mapInArrow(_bands, "bucket long, key long")
     full = band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = table(band.join(full, "bucket"), "members")
@@ -260,14 +290,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cells = table(rooted.join(main, "bucket"), "cells")
     more = _between_others(cells.where("root <> main"), classes).join(stars, ["u", "v"], "left_anti")
     more = _confirmed(more, classes, docs).union(_with_main(cells, classes, docs))
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = table(components(links), "roots")
-
-    whole = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    linked = whole.where("root IS NOT NULL")
-    ids = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    component = whole.join(ids, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    roots = components(_by_id(links.union(more), classes, rows))
+    ids = classes.select("key", F.col("rep.doc_id").alias("node")).join(roots, "node", "left")
+    component = ids.select("key", F.coalesce("root", "node").alias("component_id"))
     has = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").join(component, "key").select("doc_id", "n", "component_id")
     none = rows.where("key IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return has.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_parts, small_batches
+from .common import id_and_text, in_parts
 from .kernel import EXACT, FOLDED, SPACE, U, Words, pieces
 
 #: Tokens of a sequence, the id that ends a document, documents packed together, distinct words a worker remembers.
@@ -46,10 +47,15 @@ class WordTokens:
         self._empty()
 
     def _empty(self) -> None:
-        self.codes, self.begin, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.codes, self.checks, self.begin, self.size = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: Words, codes: np.ndarray, at: np.ndarray) -> None:
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size
+
+    def _learn(self, words: Words, codes: np.ndarray, checks: np.ndarray, at: np.ndarray) -> None:
         if len(self.codes) > REMEMBERED:
             self._empty()
         place = np.searchsorted(self.codes, codes)
@@ -59,19 +65,26 @@ class WordTokens:
         new, raw = at[fresh], words.data.tobytes()
         if not len(new):
             return
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)]
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        ids, size = self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
         begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum()))])
-        self.codes, self.begin, self.size = (np.insert(old, place[fresh], x) for old, x in ((self.codes, codes[fresh]), (self.begin, begin), (self.size, size)))
+        self.ids = np.concatenate([self.ids, ids])
+        fields = ((self.codes, codes[fresh]), (self.checks, checks[fresh]), (self.begin, begin), (self.size, size))
+        self.codes, self.checks, self.begin, self.size = (np.insert(old, place[fresh], x) for old, x in fields)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's begin and end."""
+        """Ids of all texts, and where each text's begin and end.
+
+        Words are told by 128 bits; texts with words that share the first 64 only are encoded without the memory.
+        """
         codes, at, back = np.unique(words.code, return_index=True, return_inverse=True)
-        self._learn(words, codes, at)
-        row = np.searchsorted(self.codes, codes)
-        begin, size = self.begin[row][back], self.size[row][back]
+        checks = words.checks()
+        self._learn(words, codes, checks[at], at)
+        row = np.searchsorted(self.codes, codes)[back]
+        if (self.checks[row] != checks).any():
+            raw = words.data.tobytes()
+            ids, size = self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True)])
+            return ids, np.concatenate([[0], np.cumsum(size)])
+        begin, size = self.begin[row], self.size[row]
         ends = np.cumsum(size)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
         return self.ids[place], np.concatenate([[0], ends])[words.first]
@@ -83,11 +96,18 @@ def word_tokens(vocabulary: str) -> WordTokens:
     return WordTokens(vocabulary)
 
 
+#: Columns of pieces; `deal` tells the documents apart that are dealt to groups, repeated rows too.
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+
+
 def _cut(vocabulary: str, with_ids: bool) -> Callable:
     """Pieces of at most LENGTH ids."""
+    names = [x.split()[0] for x in _PIECES.split(",")] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(vocabulary)
+        met: Counter = Counter()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
@@ -95,13 +115,14 @@ def _cut(vocabulary: str, with_ids: bool) -> Callable:
                 ids, ends = tokens.encode(parts_of(data, at))
                 for i, doc in enumerate(docs[rows]):
                     own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(END)).astype("<u4")
+                    crc = zlib.crc32(own.tobytes())
+                    met[doc, crc] += 1  # equal rows can take each other's number, so a task that runs again deals alike
+                    deal = zlib.crc32(repr((doc, crc, met[doc, crc])).encode())
                     for start in range(0, len(own), LENGTH):
-                        piece = own[start : start + LENGTH]
-                        raw = piece.tobytes()
-                        out.append((doc, start, len(piece), zlib.crc32(raw), len(own), raw if with_ids else None))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
+                        raw = own[start : start + LENGTH].tobytes()
+                        out.append((doc, start, len(raw) // 4, zlib.crc32(raw), len(own), deal, *[raw] * with_ids))
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -139,7 +160,7 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
     bins, offsets = first_fit_decreasing(group["length"].to_numpy(), LENGTH)
     group["sequence_id"] = (group.pop("grp").to_numpy() << 32) + bins
     group["offset"] = offsets
-    return group
+    return group.drop(columns="deal")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
@@ -147,15 +168,12 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool
     sequence_id, offset, and with `with_ids` the ids as little-endian 32-bit numbers.
 
     A document's ids are its text's, then id 2; a longer one is cut every 4096 ids. Documents are dealt to groups of
-    about 4,000 by a hash of id and text, and each group is packed first-fit decreasing on its own, so no group grows with
-    the corpus. Null or empty texts are the one id 2; rows that repeat an id are packed one by one; null ids are
-    kept. Other columns are ignored; an empty table gives no rows.
+    about 4,000 by a hash of id, text and, for equal rows, their number, and each group is packed first-fit decreasing
+    on its own, so no group grows with the corpus. Null or empty texts are the one id 2; rows that repeat an id are
+    packed one by one; null ids are kept. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     groups = in_parts(docs.count(), GROUP)
-    docs = id_and_text(docs)
-    cut = docs.mapInArrow(_cut(vocabulary, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    cut = cut if with_ids else cut.drop("ids")
-    cut = cut.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("doc_id", "ids_crc32"), F.lit(17)), F.lit(groups)))
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return cut.groupBy("grp").applyInPandas(_fill, kinds)
+    more = ", ids binary" * with_ids
+    cut = id_and_text(docs).mapInArrow(_cut(vocabulary, with_ids), _PIECES + more)
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64("deal", F.lit(17)), F.lit(groups)))
+    return cut.groupBy("grp").applyInPandas(_fill, _PIECES.replace(", deal long", "") + more + ", sequence_id long, offset long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_parts, small_batches, table
+from .common import id_and_text, in_parts, table
 from .kernel import EXACT, SPACE, U, Words, binary, mix, pieces, stream
 from .packed import pack, unpack
 
@@ -242,7 +242,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Rows that repeat an id are cut alike. Other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = id_and_text(docs)
     counted = docs.select("text").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 2 * BITS, np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, remainder, small_batches
+from .common import id_and_text, remainder
 from .kernel import FOLDED, U, Words, pieces
 
 #: Labelled rows that are learned from at most (the first by a hash of the id); entries of the learned lexicon.
@@ -244,7 +244,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | N
     Null or empty texts have all features 0 and get their score too; null ids are scored; labels of unknown ids or
     null labels are ignored, and without any every score is the same. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     codes, weights, model, knots, values = train(learn_from or docs, labels.where(remainder("doc_id", 3) != 1))
 

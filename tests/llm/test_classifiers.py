@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 
-from tidewalk.llm.language import identify, learnable
+from tidewalk.llm.language import dictionaries, identify, learnable, letters, without_rejected
 from tidewalk.llm.toxicity import isotonic, score_toxicity
 
 from .common_rows import SCHEMA, documents
@@ -20,13 +21,60 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_of_awkward_rows(spark):
-    frame = spark.createDataFrame([*documents(), (5, "12 !! 34", "en", 1, 2, 3, "g")], SCHEMA)
+    frame = spark.createDataFrame([*documents(), (5, "12 !! 34", "en", 1, 2, 3, "g"), (6, "½ ² Ⅷ ٣ _ 〇", "en", 1, 2, 3, "g")], SCHEMA)
     rows = {r.doc_id: r for r in identify(frame, learnable(frame)).collect()}
-    assert all(rows[i].lang_pred == "und" and rows[i].rejected and rows[i].score == 0 for i in (96, 95, 94, 5))
+    assert all(rows[i].lang_pred == "und" and rows[i].rejected and rows[i].score == 0 for i in (96, 95, 94, 5, 6))
     assert rows[100].lang_pred == "en" and identify(frame.limit(0), learnable(frame)).count() == 0
     assert {r.lang_pred for r in identify(frame, learnable(frame).limit(0)).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode():
+    for c in map(chr, range(0x3000)):
+        assert bool(letters(c)) == any(x.isalpha() for x in c.lower())
+
+
+def test_every_language_is_learned_from_all_parts_of_its_texts(spark):
+    rng = random.Random(1)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)] for _ in range(70)]
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(100 * k + i, text(k, 60), f"l{k:02}") for k in range(70) for i in range(3)] + [(9000, "q" * 30_000 + " ending words", "l70"), (9001, "tiny", "l71")]
+    content = dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(content) == 72 and b"ending words" in content["l70"] and content["l71"] == b"tiny"
+    ask = spark.createDataFrame([(k, text(k, 30)) for k in range(70)], "doc_id long, text string")
+    out = identify(ask, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == f"l{r.doc_id:02}" and not r.rejected for r in out)
+
+
+def plain_language(text, content):
+    """Compressed sizes without pieces kept apart by the operator: the same rule, written out for one text."""
+    clean = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    if not clean:
+        return "und", True
+    sizes = {}
+    for lang, raw in content.items():
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=9)
+        w, raw_text = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False), clean.encode()
+        sizes[lang] = sum(len(w.compress(raw_text[i : i + 1024])) for i in range(0, len(raw_text), 1024))
+    first, second = sorted(sizes.values())[:2]
+    return [lang for lang in sorted(sizes) if sizes[lang] == first], second < first * 1.02
+
+
+def test_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300)
+    content = dictionaries(learnable(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in identify(docs, learnable(docs)).collect():
+        best, narrow = plain_language(texts[r.doc_id], content)
+        assert r.lang_pred in best and r.rejected == narrow
+
+
+def test_rows_are_rejected_one_by_one(spark):
+    frame = spark.createDataFrame([*documents(), (None, "12", "en", 1, 2, 3, "g"), (100, "34", "en", 1, 2, 3, "g")], SCHEMA)
+    gone = {(r.doc_id, r.text) for r in frame.collect()} - {(r.doc_id, r.text) for r in without_rejected(frame, learnable(frame)).collect()}
+    assert gone == {(96, None), (95, ""), (94, " \t\n"), (None, "12"), (100, "34")}
+
+
 def test_narrow_margins_are_rejected_and_clean_texts_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rng, held = random.Random(5), [(r.lang, r.text) for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) >= 400 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]

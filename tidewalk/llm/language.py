@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, remainder
 
-#: Training: documents a language, bytes of each one's dictionary, languages at most (the commonest).
-SAMPLE, DICTIONARY, LANGUAGES = 200, 96_000, 60
+#: Training: documents a language, bytes of its dictionary, and bytes of all dictionaries (with very many languages
+#: each gets its share). Texts of LEAST characters are preferred; of a longer one SLICES slices spread over it are taken.
+SAMPLE, DICTIONARY, ALL, LEAST, SLICES = 200, 96_000, 24_000_000, 40, 4
 #: Bytes compressed at a time, so that a text's own words don't outweigh the dictionary's.
 STEP = 1024
 LEVEL = 9
@@ -23,7 +25,9 @@ LEVEL = 9
 MARGIN = 0.02
 
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Characters that Python's patterns take as word characters though they are no letters: ½, ², Ⅷ.
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str) -> str:
@@ -34,55 +38,65 @@ def letters(text: str) -> str:
 def dictionaries(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Raw dictionary content by language from a bounded sample of labelled documents (doc_id, text, lang).
 
-    Sampled are each language's first `sample` documents of at least 40 characters in the order of a hash of the id.
+    Sampled are each language's first `sample` documents in the order of a hash of id and text, longer ones before
+    those under LEAST characters. Every language is learned, however rare.
     """
-    known = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) >= 40")
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(common)).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-    chosen = known.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most sample * LANGUAGES ids
     each = DICTIONARY // (sample * 4 // 5)
+    size, one = F.length("text"), each // SLICES
+    spread = [F.substr("text", (F.lit(1) + (size - one) * i / (SLICES - 1)).cast("int"), F.lit(one)) for i in range(SLICES)]
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.when(size <= each, F.col("text")).otherwise(F.concat_ws(" ", *spread)).alias("part"), (size < LEAST).alias("short"), F.xxhash64("doc_id", "text").alias("h"))
+    known = known.withColumn("salt", F.pmod("h", F.lit(64)))
+    for by in (["lang", "salt"], ["lang"]):  # a language with a third of all rows is cut down in 64 parts first
+        known = known.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("short", "h"))).where(F.col("k") <= sample)
     texts: dict[str, list[bytes]] = {}
-    for row in chosen.select("lang", "k", F.substring("text", 1, each).alias("text")).orderBy("lang", "k").collect():
-        texts.setdefault(row.lang, []).append(letters(row.text).encode())
-    return {lang: b" ".join(x)[:DICTIONARY] for lang, x in texts.items()}
+    for row in known.select("lang", "k", "part").orderBy("lang", "k").collect():  # `sample` rows a language
+        texts.setdefault(row.lang, []).append(letters(row.part).encode())
+    most = min(DICTIONARY, ALL // max(1, len(texts)))
+    return {lang: b" ".join(x)[:most] for lang, x in texts.items()}
 
 
-def _sizes(content: dict[str, bytes]) -> Callable:
+def _judge(content: dict[str, bytes]) -> Callable[[list], dict[str, list]]:
+    """lang_pred, score, margin and rejected of texts."""
     names = sorted(content)
+    writers = []
+    for name in names:
+        d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        writers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def one(value: str | None) -> tuple[str, float, float, bool]:
+        text = letters(value or "")
+        if not names or not text:
+            return "und", 0.0, 0.0, True
+        raw = text.encode()
+        parts = [raw[i : i + STEP] for i in range(0, len(raw), STEP)]
+        sizes = np.array([sum(len(w.compress(x)) for x in parts) for w in writers], float)
+        margin = float(np.partition(sizes, 1)[1] / sizes.min() - 1) if len(names) > 1 else 1.0
+        tied = np.flatnonzero(sizes == sizes.min())
+        if len(tied) > 1:  # too short to tell by whole bytes: how often its words stand in the dictionaries
+            words = [b" " + w + b" " for w in raw.split()]
+            seen = [sum(np.log1p(content[names[i]].count(w)) for w in words) for i in tied]
+            sizes[tied[int(np.argmax(seen))]] -= 0.5
+        best = int(sizes.argmin())
+        over = sizes - sizes[best]
+        score = float(1 / np.exp(-np.minimum(over, 60) * min(1.0, 40 / len(parts) ** 0.5 / 8)).sum())
+        return names[best], score, margin, margin < MARGIN
+
+    def run(texts: list) -> dict[str, list]:
+        found = [one(t) for t in texts]
+        return {c: [f[i] for f in found] for i, c in enumerate(("lang_pred", "score", "margin", "rejected"))}
+
+    return run
+
+
+def _identified(content: dict[str, bytes]) -> Callable:
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "margin": pa.float64(), "rejected": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writers = []
-        for name in names:
-            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            writers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        judge = _judge(content)
         for batch in batches:
-            langs, scores, margins, narrow = [], [], [], []
-            for value in batch.column("text").to_pylist():
-                text = letters(value or "")
-                if not names or not text:
-                    langs.append("und")
-                    scores.append(0.0)
-                    margins.append(0.0)
-                    narrow.append(True)
-                    continue
-                raw = text.encode()
-                parts = [raw[i : i + STEP] for i in range(0, len(raw), STEP)]
-                sizes = np.array([sum(len(w.compress(x)) for x in parts) for w in writers], float)
-                margins.append(float(np.partition(sizes, 1)[1] / sizes.min() - 1) if len(names) > 1 else 1.0)
-                tied = np.flatnonzero(sizes == sizes.min())
-                if len(tied) > 1:  # too short to tell by whole bytes: how often its words stand in the dictionaries
-                    words = [b" " + w + b" " for w in raw.split()]
-                    seen = [sum(np.log1p(content[names[i]].count(w)) for w in words) for i in tied]
-                    sizes[tied[int(np.argmax(seen))]] -= 0.5
-                best = int(sizes.argmin())
-                over = sizes - sizes[best]
-                langs.append(names[best])
-                scores.append(float(1 / np.exp(-np.minimum(over, 60) * min(1.0, 40 / len(parts) ** 0.5 / 8)).sum()))
-                narrow.append(margins[-1] < MARGIN)
-            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(narrow, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "margin", "rejected"])
+            found = judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[c], k) for c, k in kinds.items())], ["doc_id", *kinds])
 
     return run
 
@@ -91,15 +105,27 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, lang_pred, score, margin, rejected.
 
     Every text is cut into pieces of 1 KB, each compressed with each language's raw-content dictionary; the language
-    of the smallest sum is predicted, ties to the one whose dictionary has the text's words most often. `score` falls
-    with the bytes the runners-up are away; `rejected` marks texts without a letter and those of any length whose
-    margin, 0 for a tie, is narrow.
+    of the smallest sum is predicted, ties to the one whose dictionary has the text's words most often (then the first
+    by name). `score` falls with the bytes the runners-up are away; `rejected` marks texts without a letter and those
+    of any length whose margin, 0 for a tie, is narrow.
 
     Null, empty or letterless texts are `und`, score 0, rejected. Without labelled documents all are `und`. Null ids
     and repeated rows are predicted row by row; other columns are ignored; an empty table gives no rows.
     """
+    return id_and_text(docs).mapInArrow(_identified(dictionaries(labelled)), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+
+
+def without_rejected(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of `docs` that `identify` doesn't reject, each judged by its own text, whatever its id; columns as they are."""
     content = dictionaries(labelled)
-    return id_and_text(docs).mapInArrow(_sizes(content), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(content)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([not x for x in judge(texts)["rejected"]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

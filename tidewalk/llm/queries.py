@@ -46,7 +46,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, learnable(docs)).withColumn("held_out", remainder("doc_id", 4) == 2)
+    return identify(docs, learnable(docs)).withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,15 +15,32 @@ from .common_rows import SCHEMA, documents, words
 VECTORS = "vec_id long, embedding array<float>, label int, block long, dim int"
 
 
-def test_shards_are_contiguous_and_even(spark):
-    rows = documents() + [(10_000 + i, "same text", "en", 1, 2, 3, "g") for i in range(400)] + [(20_000 + i, " ".join(words(i, 30)), "en", 1, 2, 3, "g") for i in range(400)]
-    out = shard(spark.createDataFrame(rows, SCHEMA), 8).toPandas()
-    assert len(out) == len(rows) and (out.law == "bytes").all() and out.grown_shard.isna().all()
-    sizes = sorted((len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
-    assert sorted(zip(out["size"], out.text_crc32, strict=True)) == sizes
-    per = out.groupby("shard")
-    assert all(sorted(s) == list(range(len(s))) for s in per.slot.apply(list))
-    assert per["size"].sum().max() - out["size"].sum() / 8 <= out["size"].max() and set(out["shard"]) <= set(range(8))
+def plain_shards(rows, shards):
+    """The same rule in one loop: rows in the order of two hashes, cut where the running total passes a target."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    ordered = sorted((md5(t or ""), "" if i is None else md5(str(i)), i or 0, i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    total, at, out, slots = sum(x[4] for x in ordered), 0, [], Counter()
+    for _, _, _, i, size, crc in ordered:
+        s = at * shards // total
+        out.append((i, size, crc, "bytes", s, slots[s], None))
+        slots[s] += 1
+        at += size
+    return out
+
+
+def test_shards_equal_brute_force(spark):
+    rows = documents() + [(10_000 + i, "same text", "en", 1, 2, 3, "g") for i in range(700)] + [(20_000 + i, " ".join(words(i, 30)), "en", 1, 2, 3, "g") for i in range(400)]
+    rows += [(30_000 + i, f"text {i % 90}", "en", 1, 2, 3, "g") for i in range(3600)] + [(None, "same text", "en", 1, 2, 3, "g")] * 3 + [(5, "same text", "en", 1, 2, 3, "g")] * 200
+    got = [tuple(r) for r in shard(spark.createDataFrame(rows, SCHEMA), 8).collect()]
+    assert sorted(got, key=repr) == sorted(plain_shards([r[:2] for r in rows], 8), key=repr)
+    per = Counter()
+    for r in got:
+        per[r[4]] += r[1]
+    assert max(per.values()) - sum(per.values()) / 8 <= max(r[1] for r in got) and set(per) == set(range(8))
+    by = {}
+    for r in got:
+        by.setdefault(r[2], set()).add(r[4])
+    assert sum(len(s) - 1 for s in by.values()) <= 7  # a group is split by a cut only
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -17,7 +17,7 @@ def made():
 def test_recurring_lines_go_but_for_the_first_document(spark):
     out = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(made(), SCHEMA)).collect()}
     assert out[0].n_dropped == 0 and "Posted by" in out[0].text and "Read more" in out[0].text
-    assert out[5].text == "f own opening words stay\n\nshort one" and out[5].n_dropped == 2
+    assert out[5].text == "f own opening words stay\n" and out[5].n_dropped == 3 and "short one" in out[0].text
     assert out[61].text == "" and out[61].n_dropped == 1
     assert out[50].text is None and out[50].n_lines == 0 and out[51].text == "" and out[None].text == LINES[1]
     assert out[5].gone == "x" and out[5].whole == "y" and out[60].n_dropped == 0
@@ -39,5 +39,11 @@ def test_whole_table_equals_sql(spark):
     assert sorted(map(repr, map(tuple, op9_line_dedup(spark, sf).collect()))) == sorted(map(repr, con.execute(LINES_SQL).fetchall()))
 
 
+def test_short_lines_recur_as_they_stand(spark):
+    rows = [(i, f"Les.\n{i} 2\n  Page   7 \n\n{i} words of its own {chr(97 + i)} x{chr(97 + i)}", "x", 7, "y") for i in range(6)]
+    out = {r.doc_id: (r.n_dropped, r.text) for r in drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0] == (0, rows[0][1]) and out[3][1].split("\n")[:2] == ["3 2", ""]
+
+
 def test_empty(spark):
     assert drop_recurring_lines(spark.createDataFrame([], SCHEMA)).count() == 0

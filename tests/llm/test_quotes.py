@@ -1,7 +1,7 @@
 import duckdb
 import pandas as pd
 
-from tidewalk.llm.quotes import CHAT_SQL, chat
+from tidewalk.llm.quotes import CHAT_SQL, as_mail, chat
 
 ROWS = [
     (1, 0, "user", "The first question, which is long enough.\n\nAnd a second paragraph to quote.", 9),
@@ -37,3 +37,20 @@ def test_equals_sql(spark):
 
 def test_empty(spark):
     assert chat(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_quotations_link_where_no_longer_one_does(spark):
+    rows = [(1, 0, "a", "Yes, ok", 9), (1, 1, "b", "Another and much longer text", 9), (1, 2, "a", "> Yes, ok\nfine", 9), (1, 3, "b", "> Yes, ok\n\n> Another and much longer text\nso", 9)]
+    out = {r.turn: r.reply_to for r in chat(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {0: None, 1: None, 2: 0, 3: 1}
+
+
+def test_mail_threads_are_linked_as_they_were_made(spark):
+    rows = [(c, t, "user", f"Message {t} of {c} has\ntwo lines.", 9) for c in range(3) for t in range(12)] + [(9, 1, None, None, 9), (None, 1, "x", "y", 9), (9, None, "x", "y", 9)]
+    out = chat(as_mail(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.conv_id in (0, 1, 2):
+            want = None if r.turn % 4 == 0 else r.turn - (2 if r.turn % 3 == 2 else 1)
+            assert r.reply_to == want and r.content == f"Message {r.turn} of {r.conv_id} has\ntwo lines."
+    assert max(r.level for r in out) >= 3 and max(r.quote_depth for r in out) == 2

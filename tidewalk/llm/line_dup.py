@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Leading tokens on a path of the tree, tokens of a line that can be a template, documents that make it recur.
+#: Leading tokens on a path of the tree, tokens of a line that is generalised, documents that make a template recur.
 DEPTH, LEAST_TOKENS, LEAST_DOCS = 3, 4, 5
 #: Share of a leaf's lines that must agree for a constant field, and of a template's fields that must be constant.
 AGREE, CONSTANT = 0.5, 0.7
 #: Leaves that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST = 100_000
+#: Templates with this share of all (document, line) pairs or more, so 1,000 at most, are sent to all executors.
+OFTEN = 1_000
 ANY = "<*>"
 
 
 def _masked(line: Column) -> Column:
     found = F.filter(F.split(line, r"[\t\x0B-\x0D ]+"), lambda t: t != "")
-    return F.array_join(F.transform(found, lambda t: F.when(t.rlike("[0-9@]"), ANY).otherwise(t)), " ")
+    return F.array_join(F.transform(found, lambda t: F.when((F.size(found) >= LEAST_TOKENS) & t.rlike("[0-9@]"), ANY).otherwise(t)), " ")
 
 
 def shape(line: Column) -> Column:
-    """Tokens between white space, one space apart; those with a digit or an @ stand for any value.
+    """Tokens between white space, one space apart; in lines of four and more those with a digit or an @ stand for any value.
 
     Most lines are their own shape: plain searches tell, which cost a tenth of a pattern's time.
     """
@@ -37,19 +39,19 @@ def n_tokens(of: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that can be templates: doc_id, shape, size, m (hash of the shape) and leaf (hash of its path in the tree)."""
+    """Lines with a token: doc_id, shape, size, m (hash of the shape) and leaf (hash of its path in the tree; null in short ones)."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     # a generator's output is made once; as a plain column it would be made again for each use and in the filter
     lines = lines.select("doc_id", F.explode(F.array(shape(F.col("line")))).alias("shape"))
-    lines = lines.withColumn("size", n_tokens(F.col("shape"))).where(F.col("size") >= LEAST_TOKENS)
-    path = F.xxhash64("size", F.substring_index("shape", " ", DEPTH))
+    lines = lines.withColumn("size", n_tokens(F.col("shape"))).where("size > 0")
+    path = F.when(F.col("size") >= LEAST_TOKENS, F.xxhash64("size", F.substring_index("shape", " ", DEPTH)))
     return lines.select("doc_id", "shape", "size", F.xxhash64("shape").alias("m"), path.alias("leaf"))
 
 
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, m, leaf; once a document) and the leaf templates that generalise some of them (m, leaf)."""
     slim = table(_lines(docs).select("doc_id", "m", "leaf").distinct(), "lines")
-    by_m = slim.groupBy("leaf", "m").agg(F.count("*").alias("docs"))
+    by_m = slim.where("leaf IS NOT NULL").groupBy("leaf", "m").agg(F.count("*").alias("docs"))
     leaves = by_m.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where(f"kinds > 1 AND docs >= {LEAST_DOCS}").select("leaf", "kinds")
     leaves = table(leaves, "leaves")
     few = leaves.count() <= BROADCAST
@@ -69,18 +71,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     general = general.select("m", "leaf", F.lit(True).alias("wide"))
     named = table(slim.join(general, ["m", "leaf"], "left").select("doc_id", "m", F.when(F.col("wide"), F.col("leaf")).otherwise(F.col("m")).alias("template")), "named")
     counted = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    recurring = counted.where(f"docs >= {LEAST_DOCS}").select("template", "first")
-    return named.join(recurring, "template").where("doc_id > first").select("doc_id", "m").distinct()
+    recurring = table(counted.where(f"docs >= {LEAST_DOCS}"), "recurring")
+    least = max(LEAST_DOCS, -(-named.count() // OFTEN))
+    often = recurring.where(F.col("docs") >= least).select("template", F.col("first").alias("often"))
+    seldom = recurring.where(F.col("docs") < least).select("template", "first")
+    marked = named.join(F.broadcast(often), "template", "left")
+    rest = marked.where("often IS NULL").join(seldom, "template").where("doc_id > first")
+    return marked.where("doc_id > often").select("doc_id", "m").union(rest.select("doc_id", "m")).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with the columns n_lines and n_dropped, and their text without recurring lines.
 
     Lines go down a tree by their number of tokens and their first three tokens; tokens with a digit or @ are a
-    variable field. In a leaf a field is constant if over half of the leaf's different lines agree on it; lines that
+    variable field. Lines under four tokens aren't generalised: each is a template as it stands. In a leaf a field is constant if over half of the leaf's different lines agree on it; lines that
     agree on all constant fields, of 70 % of the line at least, share the leaf's template, all others are their own.
     A template in five documents or more recurs: it stays in the document of smallest id and is dropped from the
-    others. Lines under four tokens, blank ones included, stay.
+    others. Blank lines stay.
 
     Null texts stay null with 0 lines; null ids are neither counted nor changed; rows that repeat an id count once
     and are cut alike. Other columns pass through, whatever their names; an empty table gives no rows.
@@ -102,11 +109,11 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
 #: The same over `documents` in DuckDB's SQL, with texts in place of hashes.
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, pos, line, array_to_string(list_transform(list_filter(string_split_regex(line, '[\t\x0B-\x0D ]+'), lambda t: t <> ''),
-    lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ') AS shape
-  FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
-s AS (SELECT DISTINCT doc_id, shape, string_split(shape, ' ') AS tokens FROM l WHERE len(string_split(shape, ' ')) >= 4),
-k AS (SELECT *, len(tokens) || '/' || array_to_string(tokens[1:3], ' ') AS leaf FROM s),
-leaves AS (SELECT leaf, count(DISTINCT shape) AS kinds FROM k GROUP BY leaf HAVING count(DISTINCT shape) > 1 AND count(*) >= 5),
+    lambda t: CASE WHEN n >= 4 AND regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ') AS shape
+  FROM (SELECT *, len(list_filter(string_split_regex(line, '[\t\x0B-\x0D ]+'), lambda t: t <> '')) AS n FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)))),
+s AS (SELECT DISTINCT doc_id, shape, string_split(shape, ' ') AS tokens FROM l WHERE shape <> ''),
+k AS (SELECT *, CASE WHEN len(tokens) >= 4 THEN len(tokens) || '/' || array_to_string(tokens[1:3], ' ') END AS leaf FROM s),
+leaves AS (SELECT leaf, count(DISTINCT shape) AS kinds FROM k WHERE leaf IS NOT NULL GROUP BY leaf HAVING count(DISTINCT shape) > 1 AND count(*) >= 5),
 kinds AS (SELECT DISTINCT leaf, kinds, shape, tokens FROM k JOIN leaves USING (leaf)),
 f AS (SELECT leaf, kinds, shape, len(tokens) AS size, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS token FROM kinds),
 c AS (SELECT leaf, pos, token FROM f WHERE token <> '<*>' GROUP BY leaf, kinds, pos, token HAVING count(*) > 0.5 * kinds),

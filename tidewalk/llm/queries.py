@@ -14,7 +14,7 @@ from .language import identify, learnable
 from .line_dup import LINES_SQL, drop_recurring_lines
 from .near_dup import NEAR_SQL, near_duplicates
 from .packing import pack_documents
-from .quotes import CHAT_SQL, chat
+from .quotes import MAIL_SQL, as_mail, chat
 from .sharding import SHARD_SQL, shard
 from .substring_dup import REPEATS_SQL, without_repeats
 from .toxicity import score_toxicity
@@ -58,7 +58,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat(read(spark, sf_dir, "conversations"))
+    return chat(as_mail(read(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": NEAR_SQL, "op5_sharding": SHARD_SQL, "op8_substring_dedup": REPEATS_SQL, "op9_line_dedup": LINES_SQL, "op10_chat": CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": NEAR_SQL, "op5_sharding": SHARD_SQL, "op8_substring_dedup": REPEATS_SQL, "op9_line_dedup": LINES_SQL, "op10_chat": MAIL_SQL}

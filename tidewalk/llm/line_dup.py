@@ -20,7 +20,8 @@ ANY = "<*>"
 
 def _masked(line: Column) -> Column:
     found = F.filter(F.split(line, r"[\t\x0B-\x0D ]+"), lambda t: t != "")
-    return F.array_join(F.transform(found, lambda t: F.when((F.size(found) >= LEAST_TOKENS) & t.rlike("[0-9@]"), ANY).otherwise(t)), " ")
+    masked = F.transform(found, lambda t: F.when(t.rlike("[0-9@]"), ANY).otherwise(t))
+    return F.array_join(F.when(F.size(found) >= LEAST_TOKENS, masked).otherwise(found), " ")
 
 
 def shape(line: Column) -> Column:

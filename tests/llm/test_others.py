@@ -44,31 +44,50 @@ def test_shards_equal_brute_force(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def brute(rows, q, k=10):
-    x = next(v for i, v in rows if i == q)
-    found = sorted({(float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(x)})
+def brute(rows, q, x, k=10):
+    found = sorted((float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), i) for i, v in {(i, tuple(v)) for i, v in rows} if (i, v) != (q, tuple(x)) and len(v) == len(x))
     return found[:k]
 
 
-def test_few_vectors_are_exact(spark):
+def test_exact_search_of_awkward_vectors(spark):
     rng = np.random.default_rng(2)
     good = [(i * 10, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
-    good += [(7000 + i, good[0][1]) for i in range(40)] + [(-100, [1.0] * 3), (-200, [2.0] * 3)]
+    good += [(7000 + i, good[0][1]) for i in range(40)] + [(-100, [1.0] * 3), (-200, [2.0] * 3), (100, [0.0, 5.0] * 4), (200, good[7][1])]
     bad = [(300_000, None), (300_100, [0.0] * 8), (300_200, [float("nan")] + [1.0] * 7), (None, [1.0] * 8), (300_300, []), (300_400, [None] + [1.0] * 7)]
     frame = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in [*good, good[3], *bad]], VECTORS)
     got = {}
-    for r in forest.nearest(frame).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
-    assert set(got) == {i for i, _ in good if i % 100 == 0}
-    for q, found in got.items():
-        want = brute(good, q)
-        assert [v for _, _, v in sorted(found)] == [i for _, i in want] and np.allclose([s for _, s, _ in sorted(found)], [s for s, _ in want], atol=1e-12)
+    for r in forest.nearest(frame, miss=0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], round(r.score, 9), r.vec_id))
+    want = {}
+    for q, x in good:
+        if q % 100 == 0:
+            want.setdefault(q, []).extend((n + 1, round(s, 9), i) for n, (s, i) in enumerate(brute(good, q, x)))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
     assert forest.nearest(frame.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("path", ["/root/testdata/sf0.1/embeddings.parquet", "/root/testdata/check_s/embeddings.parquet"])
-def test_recall(spark, path):
-    frame = spark.read.parquet(path)
+def isotropic(n, rng):
+    x = rng.normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def clustered(n, rng):
+    return isotropic(n // 50, rng)[rng.integers(0, n // 50, n)] + 0.05 * rng.normal(size=(n, 64))
+
+
+@pytest.mark.parametrize(("made", "n", "most"), [(isotropic, 500, 0.9), (isotropic, 4_000, 0.75), (isotropic, 12_000, 0.6), (clustered, 500, 0.2), (clustered, 4_000, 0.2), (clustered, 12_000, 0.2)])
+def test_recall_and_share_of_rows_ranked(made, n, most):
+    x = made(n, np.random.default_rng(n))
+    hits, share = [], []
+    for q, (rows, score) in zip(range(0, n, 100), forest.Forest(x).search(x[::100], 10, forest.MISS), strict=True):
+        true = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:11]
+        hits.append(len(set(true) & set(rows[np.argsort(score, kind="stable")[:11]].tolist())) - 1)
+        share.append(len(rows) / n)
+    assert np.mean(hits) >= 9 and np.mean(share) <= most
+
+
+def test_recall_of_the_whole_search(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     table = frame.toPandas()
     x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
     out = forest.nearest(frame).toPandas()

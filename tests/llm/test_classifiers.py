@@ -1,11 +1,13 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import zstandard
 
 from tidewalk.llm.language import dictionaries, identify, learnable, letters, without_rejected
-from tidewalk.llm.toxicity import isotonic, score_toxicity
+from tidewalk.llm.kernel import FOLDED, U, Words
+from tidewalk.llm.toxicity import _MASKED, _PLAIN, _UNMASK, FEATURES, SECOND_PERSON, STANDS_FOR, _codes, features, isotonic, score_toxicity
 
 from .common_rows import SCHEMA, documents
 
@@ -119,3 +121,54 @@ def test_isotonic_rises():
     x = rng.normal(size=300)
     knots, values = isotonic(x, (rng.random(300) < 1 / (1 + np.exp(-x))).astype(float))
     assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all()
+
+
+def plain_features(text, lexicon):
+    """The features of one text, word by word; lexicon: weights of whole words."""
+    fold = lambda w: w.translate({c: c + 32 for c in range(65, 91)})
+    raw = text.encode()
+    split = lambda letters: [w.decode() for w in re.findall(letters, raw)]
+    words, masked = split(rb"[A-Za-z\x80-\xff]+"), split(rb"[A-Za-z\x80-\xff013457@$!]+")
+    hit = [fold(w) in lexicon for w in words]
+    hidden = sum("".join(STANDS_FOR.get(c, c) for c in fold(w)) in lexicon for w in masked)
+    you = [fold(w) in SECOND_PERSON for w in words]
+    n, size = len(words), max(len(raw), 1)
+    near = [h and any(you[max(0, i - 5) : i] + you[i + 1 : i + 6]) for i, h in enumerate(hit)]
+    letters = max(sum(len(w.encode()) for w in words), 1)
+    at = lambda f: sum(map(f, raw))
+    many = max(n, 1)
+    return [
+        np.log1p(n), np.log1p(sum(hit)), sum(hit) / many, len({fold(w) for w, h in zip(words, hit) if h}), sum(lexicon.get(fold(w), 0) for w in words),  # noqa: B905
+        sum(near), sum(you) / many, at(lambda b: 65 <= b <= 90) / letters, sum(len(w) > 2 and w.isascii() and w.isupper() for w in words) / many,
+        at(lambda b: b == 33) / size, at(lambda b: 32 < b < 48) / size, at(lambda b: 48 <= b < 58) / size, np.log1p(max(hidden - sum(hit), 0)),
+        sum(len(w.encode()) == 1 for w in words) / many, sum(len(w.encode()) for w in words) / many, sum(a == b == c for a, b, c in zip(raw, raw[1:], raw[2:])) / size,  # noqa: B905
+    ]
+
+
+def test_features_equal_brute_force():
+    lexicon = {"idiot": 3.0, "stupid": 2.5, "hat": 2.2}
+    texts = ["You are an IDIOT, stupid!!!", "", "a hat on your head, st0pid 1d10t $tup1d", "nothing here", "HAT hat HAT tu es Hat", "été 123 ... @@@ x" * 40]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    codes = _codes(list(lexicon))
+    weights = np.empty(len(codes))
+    for w, value in lexicon.items():
+        weights[np.searchsorted(codes, _codes([w])[0])] = value
+    got = features(Words(data, at, FOLDED, _PLAIN), Words(data, at, _UNMASK, _MASKED), codes + U(0), weights)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_features(text, lexicon)), dict(zip(FEATURES, zip(row, plain_features(text, lexicon)), strict=True))  # noqa: B905
+
+
+def test_an_id_with_many_rows_is_learned_from_once(spark):
+    docs = spark.range(3_000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    assert score_toxicity(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")).count() == 3_000
+
+
+def test_few_labels_are_learned_crosswise(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common, bad = [word() for _ in range(300)], ["grumbel", "fnarkel", "zorbel"]
+    rows = [(i, " ".join(rng.choices(common, k=40) + (rng.choices(bad, k=4) if i % 4 == 0 else []))) for i in range(600)]
+    out = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")).collect()
+    held = [r for r in out if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) >= 0.98

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, remainder
+from .common import drop_table, id_and_text, remainder, table
 from .kernel import FOLDED, U, Words, pieces
 
-#: Labelled rows that are learned from at most (the first by a hash of the id); entries of the learned lexicon.
-SAMPLE, LEXICON = 12_000, 400
+#: Labelled documents that are learned from at most (the first by a hash of the id), entries of the learned lexicon,
+#: parts of the sample that are taken crosswise.
+SAMPLE, LEXICON, FOLDS = 12_000, 400, 3
 #: Bytes of word beginnings that lexicon entries may have; 0 is the whole word.
 SIZES = (0, 4, 5, 6, 7, 8)
 TREES, DEPTH, RATE, BINS, SMALLEST = 80, 3, 0.15, 32, 12
@@ -56,22 +57,20 @@ def _entries(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents with and without the label have each lexicon key."""
+    """How many documents of each part with and without the label have each lexicon key."""
     for batch in batches:
-        labels = batch.column("toxic").to_numpy()
-        found = []
+        labels, parts = batch.column("toxic").to_numpy().astype(int), batch.column("part").to_numpy()
+        found = [(np.zeros(0, U), np.zeros(0, int))]
         for rows, data, at in pieces(batch):
             words = Words(data, at, FOLDED, _PLAIN)
             text = np.repeat(np.arange(len(words.count)), words.count)
             for _, codes, index in _entries(words):
                 pairs = np.unique(np.stack([codes, text[index].astype(U)]), axis=1) if len(codes) else np.zeros((2, 0), U)
-                found.append((pairs[0], labels[rows][pairs[1].astype(int)]))
-        codes = np.concatenate([x[0] for x in found]) if found else np.zeros(0, U)
-        toxic = np.concatenate([x[1] for x in found]) if found else np.zeros(0)
-        keys, back = np.unique(codes, return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(np.bincount(back, toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(back, 1 - toxic, len(keys)).astype(np.int64))], ["code", "yes", "no"]
-        )
+                row = pairs[1].astype(int)
+                found.append((pairs[0], parts[rows][row] * 2 + labels[rows][row]))
+        codes, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys, many = np.unique(np.stack([codes, kind.astype(U)]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(keys[1].astype(np.int64)), pa.array(many.astype(np.int64))], ["code", "kind", "n"])
 
 
 def features(words: Words, masked: Words, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -119,11 +118,21 @@ def features(words: Words, masked: Words, codes: np.ndarray, weights: np.ndarray
     ])
 
 
-def _featured(codes: np.ndarray, weights: np.ndarray, ends: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable:
+def _featured(lexicon: tuple[np.ndarray, np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return features(Words(data, at, FOLDED, _PLAIN), Words(data, at, _UNMASK, _MASKED), *lexicon)
+
+
+def _sampled(lexicons: list[tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """Features of sampled documents, each by the lexicon of the other parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(Words(data, at, FOLDED, _PLAIN), Words(data, at, _UNMASK, _MASKED), codes, weights) for _, data, at in pieces(batch)]
-            yield ends(batch, np.concatenate(found) if found else np.zeros((0, len(FEATURES))))
+            found, parts = np.zeros((batch.num_rows, len(FEATURES))), batch.column("part").to_numpy()
+            for rows, data, at in pieces(batch):
+                own = parts[rows]
+                for part in np.unique(own):
+                    found[rows][own == part] = _featured(lexicons[part], data, at)[own == part]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "part", "toxic")] + [pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "part", "toxic", "x"])
 
     return run
 
@@ -201,54 +210,66 @@ def _calibrated(raw: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.nd
     return np.clip(0.995 * (np.interp(raw, knots, values) if len(knots) else plain) + 0.005 * plain, 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple:
-    """Lexicon and model from at most SAMPLE labelled documents, the first in the order of a hash of the id."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.col("h"), F.lit(10)))  # at most SAMPLE ids
-    terms = sample.where("part < 5").select("text", "toxic").mapInArrow(_terms, "code long, yes long, no long")
-    terms = terms.groupBy("code").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    size = sample.where("part < 5").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).first()
-    all_yes, all_no = size.yes or 0, size.no or 0
-    odds = F.log((F.col("yes") + 0.5) / (all_yes + 1) / ((F.col("no") + 0.5) / (all_no + 1)))
-    top = terms.where("yes >= 3").withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("yes")), "code").limit(LEXICON).collect()
-    codes = np.array([r.code for r in top], np.int64).view(U)
+def _lexicon(terms: DataFrame, yes: str, no: str, all_yes: int, all_no: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, sorted, and weights of the keys whose odds of the label are high."""
+    odds = F.log((F.expr(yes) + 0.5) / (all_yes + 1) / ((F.expr(no) + 0.5) / (all_no + 1)))
+    top = terms.select("code", F.expr(yes).alias("yes"), odds.alias("odds")).where("yes >= 3 AND odds > 2")
+    top = top.orderBy(F.desc(F.col("odds") * F.sqrt("yes")), "code").limit(LEXICON).collect()
+    codes, weights = np.array([r.code for r in top], np.int64).view(U), np.array([r.odds for r in top], float)
     order = np.argsort(codes)
-    codes, weights = codes[order], np.array([r.odds for r in top])[order] if top else np.zeros(0)
+    return codes[order], weights[order]
 
-    def kept(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("toxic").cast(pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "part", "toxic", "x"])
 
-    small_rows = sample.select("doc_id", "text", "part", "toxic").mapInArrow(_featured(codes, weights, kept), "doc_id long, part long, toxic double, x array<double>")
-    rows = sorted(small_rows.collect(), key=lambda r: (r.doc_id, r.x))  # at most SAMPLE rows
-    x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
-    y, part = np.array([r.toxic for r in rows]), np.array([r.part for r in rows], int)
-    fit, hold = (part >= 5) & (part < 8), part >= 8
-    if len(rows) < 2_000 or y[fit].sum() < 20:  # too few to set any aside
-        fit = part >= 0
-    model = Boosted(x[fit], y[fit])
-    if y[hold].sum() < 10:
-        hold = fit
-    knots, values = isotonic(model.raw(x[hold]), y[hold])
-    return codes, weights, model, knots, values
+def train(docs: DataFrame, labels: DataFrame) -> tuple:
+    """Lexicon, trees and calibration from at most SAMPLE labelled documents, the first in the order of a hash of the id.
+
+    The sample is taken crosswise in FOLDS parts, whatever its size: a document's features come from a lexicon of the
+    other parts, its raw score for the calibration from trees of the other parts.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("long").alias("toxic"))
+    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
+    one = F.min_by("text", F.xxhash64("text")).alias("text")  # of an id with several texts
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h", "toxic").agg(one)  # at most SAMPLE ids
+    sample = table(sample.select("doc_id", "text", "toxic", F.pmod("h", F.lit(FOLDS)).alias("part")), "sample")
+    rows = {(r.part, r.toxic): r.n for r in sample.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
+    terms = sample.select("text", "toxic", "part").mapInArrow(_terms, "code long, kind long, n long")
+    terms = table(terms.groupBy("code").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS))), "terms")
+    size = lambda toxic, but: sum(n for (part, label), n in rows.items() if label == toxic and part != but)
+    column = lambda toxic, but: " + ".join(f"n{2 * part + toxic}" for part in range(FOLDS) if part != but)
+    *others, lexicon = [_lexicon(terms, column(1, but), column(0, but), size(1, but), size(0, but)) for but in [*range(FOLDS), None]]
+
+    found = sample.mapInArrow(_sampled(others), "doc_id long, part long, toxic long, x array<double>")
+    found = sorted(found.collect(), key=lambda r: r.doc_id)  # at most SAMPLE rows
+    for done in (sample, terms):
+        drop_table(done)
+    x = np.array([r.x for r in found]).reshape(-1, len(FEATURES))
+    y, part = np.array([r.toxic for r in found], float), np.array([r.part for r in found], int)
+    raw = np.zeros(len(y))
+    for p in range(FOLDS):
+        raw[part == p] = Boosted(x[part != p], y[part != p]).raw(x[part == p])
+    return lexicon, Boosted(x, y), *isotonic(raw, y)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score, predicted.
 
-    Features are lexicon densities (words and word beginnings whose odds of the label are high in half of the
-    sample), their nearness to words that address the reader, capitals, punctuation and hits that only appear when
-    look-alike characters are read as letters. Trees are fitted on other labelled documents and calibrated on a third
-    part. Labels are learned only from ids whose crc32 as text, modulo 3, is not 1.
+    Features are lexicon densities (words and word beginnings whose odds of the label are high), their nearness to
+    words that address the reader, capitals, punctuation and hits that only appear when look-alike characters are read
+    as letters. Lexicon, trees and calibration are learned crosswise from a bounded sample. Labels are learned only
+    from ids whose crc32 as text, modulo 3, is not 1.
 
     Null or empty texts have all features 0 and get their score too; null ids are scored; labels of unknown ids or
-    null labels are ignored, and without any every score is the same. Other columns are ignored.
+    null labels are ignored, and without any every score is the same. Of an id that repeats one text is learned from; all its
+    rows are scored. Other columns are ignored, an empty table gives no rows.
     """
     docs = id_and_text(docs)
-    codes, weights, model, knots, values = train(learn_from or docs, labels.where(remainder("doc_id", 3) != 1))
+    learn = docs if learn_from is None else id_and_text(learn_from)
+    lexicon, model, knots, values = train(learn, labels.where(remainder("doc_id", 3) != 1))
 
-    def scored(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_calibrated(model.raw(x), knots, values))], ["doc_id", "score"])
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0), *(_calibrated(model.raw(_featured(lexicon, data, at)), knots, values) for _, data, at in pieces(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(_featured(codes, weights, scored), "doc_id long, score double")
+    out = docs.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

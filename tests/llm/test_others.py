@@ -109,8 +109,10 @@ def test_benchmark_passages_are_found(spark):
     frame, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(frame, benchmark).collect()}
     assert got == {(i, i % 8) for i in range(16)} | {(50, 5)}
-    kept = without_benchmark(frame, benchmark)
-    assert kept.columns == frame.columns and kept.count() == len(rows) - 17
+    frame = frame.union(spark.createDataFrame([(None, rows[0][1], *rows[0][2:]), (0, "clean text", *rows[0][2:])], SCHEMA))
+    kept = without_benchmark(frame, benchmark)  # row by row, whatever the id
+    assert kept.columns == frame.columns and kept.count() == len(rows) - 17 + 1
+    assert [r.text for r in kept.where("doc_id = 0").collect()] == ["clean text"]
     assert contaminated(frame, benchmark.limit(0)).count() == 0 and contaminated(frame.limit(0), benchmark).count() == 0
 
 
@@ -139,13 +141,50 @@ def test_paraphrases_are_found_wherever_the_subsequence_rule_holds(spark):
     rng = np.random.default_rng(8)
     texts = [t for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(3_000).toPandas().text if t]
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
-    pool, rows, want = " ".join(texts[:500]).split(), list(enumerate(texts)), set()
+    pool, rows, want = " ".join(texts[:500]).split(), list(enumerate(texts)), (set(), set())
     for k, (item, text) in enumerate(items * 2):
         own, last = text.split(), len(re.split(r"[.?!:\n]", text.strip().rstrip(".?!:"))[-1].split())
         keep = {*range(len(own) - last, len(own)), *rng.choice(len(own) - last, max(0, min(len(own) - last, int(np.ceil(0.6 * len(own))) - last + 1)), replace=False).tolist()}
-        loose = [x for i, w in enumerate(own) for x in (w if i in keep else pool[rng.integers(len(pool))], pool[rng.integers(len(pool))])]
+        spread = k >= len(items)  # every second word foreign besides
+        loose = [x for i, w in enumerate(own) for x in (w if i in keep else pool[rng.integers(len(pool))], *[pool[rng.integers(len(pool))]] * spread)]
         host = texts[k].split()
         rows.append((100_000 + k, " ".join(host[: len(host) // 2] + loose + host[len(host) // 2 :])))
-        want.add((100_000 + k, item))
+        want[spread].add((100_000 + k, item))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want[0] | want[1] <= {(r.doc_id, r.item_id) for r in found}
+    alone = {(r.doc_id, r.item_id) for r in found if r.retrieved}  # by the cosine, without the bound's help
+    assert len(want[0] & alone) >= 0.9 * len(want[0]) and len(want[1] & alone) >= 0.8 * len(want[1])
+
+
+def test_whole_search_equals_brute_force(spark):
+    """Every passage of every document against every item, without retrieval or bound; synonyms, dropped words, turned clauses."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(words(700 + i, 14 + 3 * i, 60 if i % 2 else 4000)) + f". It is {' '.join(words(800 + i, 2 + i % 3, 90))}.") for i in range(8)]
+    rows = []
+    for d in range(120):
+        host, own = words(900 + d, int(rng.integers(0, 120)), 60 if d % 2 else 4000), items[d % 8][1].split()
+        if d % 4 == 0:
+            own = [w if rng.random() < 0.75 else f"new{rng.integers(99)}" for w in own]
+        elif d % 4 == 1:
+            own = [w for w in own if rng.random() < 0.7]
+        elif d % 4 == 2:
+            cut = int(rng.integers(1, len(own)))
+            own = own[cut:] + own[:cut]
+        rows.append((d, " ".join(host[: len(host) // 2] + own + host[len(host) // 2 :])))
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in split(t)])
+    want = set()
+    for d, text in rows:
+        doc = code(text)
+        for i, item in items:
+            own, answer = code(item), set(code(item.rstrip(".").split(".")[-1]).tolist())
+            for begin in range(0, len(doc), 16):
+                region = doc[max(0, begin - len(own)) : begin + 32 + len(own)]
+                if common_in_order(own, region) >= 0.6 * len(own) and len(answer & set(region.tolist())) >= 0.5 * len(answer):
+                    want.add((d, i))
+                    break
     found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert want <= {(r.doc_id, r.item_id) for r in found.collect()}
+    found = found.collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and 50 < len(want) < 400
+    assert sum(r.retrieved for r in found) >= 0.9 * len(want)

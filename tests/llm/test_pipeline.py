@@ -2,6 +2,7 @@
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -64,3 +65,18 @@ def test_stages_take_awkward_rows_and_empty_tables(spark):
         out = stage(spark, frame, SF)
         assert out.columns == frame.columns and 0 < out.count() <= frame.count()
         assert stage(spark, frame.limit(0), SF).count() == 0
+
+
+def test_stages_judge_rows_with_null_or_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    odd = [(None, None, "en"), (None, "12 34", "en"), (None, item, "en"), (7, "99", "en"), (None, "", None)]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string, lang string")).withColumn("gone", F.lit("x")).withColumn("row", F.lit(1))
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert sorted(str(r.text) for r in kept.where("doc_id IS NULL").collect()) == [item] and kept.columns == docs.columns
+    assert {r.text for r in docs.where("doc_id = 7").collect()} - {r.text for r in kept.where("doc_id = 7").collect()} == {"99"}
+    assert corpus_pipeline.line_dedup(spark, docs, SF).where("doc_id IS NULL").count() == 4
+    assert corpus_pipeline.line_dedup(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.near_dedup(spark, docs, SF).where("doc_id IS NULL").count() == 4
+    assert corpus_pipeline.decontaminate(spark, docs, SF).where("doc_id IS NULL").count() == 3
+    assert corpus_pipeline.packing(spark, docs, SF).where("doc_id IS NULL").count() == 4

@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: overlap bound in latent order, then longest common subsequence and answer checks."""
+"""Benchmark passages in documents: latent retrieval, an exact bound for the rest, then longest common subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from .common import id_and_text
 from .kernel import FOLDED, U, Words, binary, pieces
 
 #: Hashed terms, dimensions of the random sketch and of the latent space, words of a block; a passage is two blocks.
-TERMS, SKETCH, LATENT, BLOCK = 1 << 15, 28, 24, 16
-#: Terms in more than this share of passages carry no weight.
-COMMON = 0.03
+TERMS, SKETCH, LATENT, BLOCK = 1 << 15, 72, 64, 16
+#: Cosine from which a passage is retrieved for an item.
+COSINE = 0.3
 #: Least share of an item's words in common order; least share of its answer's words.
 SHARED, ANSWER = 0.6, 0.5
 #: Words in at most this many items are counted sparsely in the overlap bound, all others densely.
@@ -136,7 +136,7 @@ def latent_space(docs: DataFrame) -> Space:
     counted = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n = max(1, next((r.n for r in counted if r.term < 0), 1))
     for r in counted:
-        if r.term >= 0 and r.n <= max(2, COMMON * n):
+        if r.term >= 0:  # the commonest term still weighs log(2), so no item is without weight
             weights[r.term] = np.log(1 + n / r.n)
     test = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (TERMS, SKETCH))
     parts = docs.select("text").mapInArrow(_range_finder(weights, test), kinds)
@@ -256,83 +256,111 @@ class Overlap:
         return block[good], item[good]
 
 
-def _search(space: Space, items: list[Item], vectors: np.ndarray) -> Callable:
-    by_length = sorted(range(len(items)), key=lambda i: len(items[i].codes))
-    items, vectors = [items[i] for i in by_length], vectors[by_length]
-    overlap = Overlap(items)
+class Search:
+    """Finds items in texts."""
+
+    def __init__(self, space: Space, items: list[Item], vectors: np.ndarray) -> None:
+        by_length = sorted(range(len(items)), key=lambda i: len(items[i].codes))
+        self.space, self.items, self.vectors = space, [items[i] for i in by_length], vectors[by_length]
+        self.overlap = Overlap(self.items)
+
+    def _confirmed(self, words: Words, text: int, begin: int, item: Item) -> tuple[float, float] | None:
+        """Shares of the item's words in order, and of its answer's, around a passage, if they are enough."""
+        n = len(item.codes)
+        first = max(int(words.first[text]), begin - n)
+        region = words.code[first : min(int(words.first[text + 1]), begin + 2 * BLOCK + n)]
+        near = set(region.tolist())
+        if sum(c in near for c in item.listed) < SHARED * n:
+            return None
+        share, answered = common_in_order(item.codes, region) / n, float(np.isin(item.answer, region).mean())
+        return (share, answered) if share >= SHARED and answered >= ANSWER else None
+
+    def pairs(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, float, float, bool]]:
+        """Text, item_id, cosine, the two shares, and whether the passage was retrieved by its cosine."""
+        words = words_of(data, at)
+        if not len(words.code):
+            return
+        sums, begin, text, _ = _passage_vectors(words, self.space.weights, self.space.basis)
+        passage = sums.copy()
+        same = text[1:] == text[:-1]
+        passage[:-1][same] += sums[1:][same]
+        passage /= np.maximum(np.linalg.norm(passage, axis=1), 1e-12)[:, None]
+        near = passage @ self.vectors.T
+        # what can't be confirmed is not looked at; of the others the retrieved ones first, by cosine, then the rest
+        block, item = self.overlap.possible(words, begin)
+        cosine = near[block, item]
+        done: set[tuple[int, int]] = set()
+        for k in np.argsort(-cosine, kind="stable"):
+            b, i = int(block[k]), int(item[k])
+            key = (int(text[b]), i)
+            if key not in done and (shares := self._confirmed(words, key[0], int(begin[b]), self.items[i])):
+                done.add(key)
+                yield key[0], self.items[i].item_id, float(cosine[k]), *shares, bool(cosine[k] >= COSINE)
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[Search]:
+    """A search for every ITEMS items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    n_blocks = -(-items.count() // ITEMS)
+    space = latent_space(docs) if n_blocks else None
+    for block in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
+        own, vectors = _items(rows, space)
+        if own:
+            yield Search(space, own, vectors)
+
+
+_PAIRS = {"item_id": pa.int64(), "cosine": pa.float64(), "lcs_share": pa.float64(), "answer_share": pa.float64(), "retrieved": pa.bool_()}
+_KINDS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, retrieved boolean"
 
+
+def _found(search: Search) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for rows, data, at in pieces(batch):
-                words = words_of(data, at)
-                if not len(words.code):
-                    continue
-                sums, begin, text, _ = _passage_vectors(words, space.weights, space.basis)
-                pair = sums.copy()
-                same = text[1:] == text[:-1]
-                pair[:-1][same] += sums[1:][same]
-                pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-12)[:, None]
-                near = pair @ vectors.T
-                block, item = overlap.possible(words, begin)
-                cosine = near[block, item]
-                # a text's best passages of an item first, until one is confirmed
-                done: set[tuple[int, int]] = set()
-                for k in np.argsort(-cosine, kind="stable"):
-                    b, i = int(block[k]), int(item[k])
-                    t = int(text[b])
-                    if (t, i) in done:
-                        continue
-                    own = items[i]
-                    n = len(own.codes)
-                    first = max(int(words.first[t]), int(begin[b]) - n)
-                    region = words.code[first : min(int(words.first[t + 1]), int(begin[b]) + 2 * BLOCK + n)]
-                    near_words = set(region.tolist())
-                    if sum(c in near_words for c in own.listed) < SHARED * n:
-                        continue
-                    share = common_in_order(own.codes, region) / n
-                    answered = float(np.isin(own.answer, region).mean())
-                    if share >= SHARED and answered >= ANSWER:
-                        done.add((t, i))
-                        out.append((ids[rows.start + t], own.item_id, float(cosine[k]), share, answered))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+            out = [(ids[rows.start + t], *rest) for rows, data, at in pieces(batch) for t, *rest in search.pairs(data, at)]
+            columns = zip(*out, strict=True) if out else [[]] * (1 + len(_PAIRS))
+            kinds = [pa.int64(), *_PAIRS.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", *_PAIRS])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share, answer_share: the documents that hold a benchmark item, one row a pair.
+    """doc_id, item_id, cosine, lcs_share, answer_share, retrieved: the documents that hold a benchmark item, one row a pair.
 
-    Passages are 32 words at every 16th; those with enough of an item's words around them to be confirmed at all are
-    candidates, the nearest by the cosine of latent vectors first. A candidate is confirmed if 60 % of the item's words
-    stand in the same order around the passage and half of the words of the item's answer (its last sentence) do too.
-    The cosine drops nothing; it is 0 where no word carries weight. Items are searched for in blocks of 1,000, each by
-    a pass over all documents.
+    Passages are 32 words at every 16th. Those whose latent vector's cosine with an item's is COSINE or more are
+    retrieved for it; an exact bound of how many of an item's words can match around a passage leaves out those that
+    can't be confirmed, and adds those below the cosine that can, so retrieval loses nothing. A candidate is confirmed
+    if 60 % of the item's words stand in the same order around the passage and half of the words of the item's answer
+    (its last sentence) do too. Items are searched for in blocks of 1,000, each by a pass over all documents.
 
     Null, empty or wordless texts and items match nothing, nor do null ids. Repeated rows give one row a pair, with the best
     figures. Other columns are ignored; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     docs = id_and_text(docs).where("doc_id IS NOT NULL")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    kinds = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
-    found = spark.createDataFrame([], kinds)
-    n_blocks = -(-items.count() // ITEMS)
-    if n_blocks:
-        space = latent_space(docs)
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        own, vectors = _items(rows, space)
-        if own:
-            found = found.union(docs.mapInArrow(_search(space, own, vectors), kinds))
-    best = [F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")]
-    return found.groupBy("doc_id", "item_id").agg(*best)
+    found = docs.sparkSession.createDataFrame([], _KINDS)
+    for search in _searches(docs, benchmark):
+        found = found.union(docs.mapInArrow(_found(search), _KINDS))
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share", "retrieved")))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item."""
-    hits = contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long") == hits["_hit"], "left_anti")
+    """The rows of `docs` that hold no benchmark item, each judged by its own text, whatever its id; columns as they are."""
+
+    def clean(search: Search) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                texts = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], ["text"])
+                for rows, data, at in pieces(texts):
+                    for t, *_ in search.pairs(data, at):
+                        keep[rows.start + t] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    kept = docs
+    for search in _searches(id_and_text(docs), benchmark):
+        kept = kept.mapInArrow(clean(search), docs.schema)
+    return kept

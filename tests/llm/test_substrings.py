@@ -1,25 +1,22 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
-from tidewalk.llm import substring_dup
+from tidewalk.llm.substring_dup import Tree, without_repeats
 
-from .common_rows import SCHEMA, documents
+from .common_rows import SCHEMA, documents, twins, words
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-@pytest.mark.parametrize("group", [1_500_000, 300])
-def test_equals_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(substring_dup, "GROUP", group)
-    rows = documents() + [(77, "a " * 40 + "end", "en", 1, 2, 3, "g"), (78, "a " * 20, "en", 1, 2, 3, "g")]
+def brute_force(rows):
     first = {}
     for i, t in ((r[0], r[1]) for r in rows if r[0] is not None):
         w = WORD.findall(t or "")
         for k in range(len(w) - 12):
             first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
-    out = substring_dup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
     want = []
     for i, t in ((r[0], r[1]) for r in rows):
         w = WORD.findall(t or "")
@@ -29,8 +26,37 @@ def test_equals_brute_force(spark, monkeypatch, group):
                 gone.update(range(k, k + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("most", [600_000, 100])
+def test_equals_brute_force(spark, monkeypatch, most):
+    rows = documents() + [(77, "a " * 40 + "end", "en", 1, 2, 3, "g"), (78, "a " * 20, "en", 1, 2, 3, "g"), (77, "other " * 20, "en", 1, 2, 3, "g")]
+    passage = words(55, 60)
+    rows += [(3000 + i, " ".join(words(i, 5) + passage[: 20 + i] + words(i + 1, 5)), "en", 1, 2, 3, "g") for i in range(30)]
+    rows += [(4000 + i, " ".join(twins(10)[i % 2] + f" p{j}" for j in range(8)), "en", 1, 2, 3, "g") for i in range(4)]
+    # one 4-word beginning in most suffixes, over several buckets
+    rows += [(5000 + i, " ".join(f"at the end of x{(i + j) % 9} y{j}" for j in range(25)), "en", 1, 2, 3, "g") for i in range(40)]
+    if most == 100:
+        monkeypatch.setattr("tidewalk.llm.substring_dup.DOCS", 20)
+    out = without_repeats(spark.createDataFrame(rows, SCHEMA), most).collect()
+    assert sorted(map(tuple, out), key=repr) == brute_force(rows)
+
+
+def test_nodes_are_the_equal_beginnings():
+    rng = np.random.default_rng(6)
+    passages = rng.integers(0, 3, (400, 13)).astype(np.int32)
+    passages[:, 2:] = passages[rng.integers(0, 4, 400), 2:]
+    tree = Tree(passages)
+    rows = passages[tree.order].tolist()
+    assert rows == sorted(rows)
+    for depth in (1, 3, 13):
+        want: dict[tuple, int] = {}
+        for r in rows:
+            want[tuple(r[:depth])] = want.get(tuple(r[:depth]), 0) + 1
+        begin, end = tree.nodes(depth)
+        assert sorted((tuple(rows[b][:depth]), e - b) for b, e in zip(begin, end, strict=True)) == sorted((k, n) for k, n in want.items() if n > 1)
 
 
 def test_empty(spark):
-    assert substring_dup.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -51,6 +51,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, files: int, column: str) -> DataFrame:
+    """Like `table`, with equal values of `column` in one of `files` buckets, so that grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    label = f"tidewalk_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}"
+    df.repartition(files, column).write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(label)
+    atexit.register(_forget, spark, path)
+    return spark.table(label)
+
+
 def drop_table(df: DataFrame) -> None:
     if path := getattr(df, "_tidewalk_path", None):
         _forget(df.sparkSession, path)

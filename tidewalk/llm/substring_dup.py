@@ -10,184 +10,281 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_parts, table
-from .kernel import EXACT, SPACE, U, Words, binary, mix, pieces, stream
+from .common import bucketed, drop_table, id_and_text, table
+from .kernel import EXACT, SPACE, U, Words, binary, mix, pieces
 from .packed import pack, unpack
 
 WINDOW = 13
-#: Suffixes that one task's tree holds, suffixes that a map task sorts at a time, documents of a rewriting task.
-GROUP, CHUNK, DOCS = 1_500_000, 800_000, 1_000
-#: Bits of a word in a prefix.
-BITS = 6
+#: Suffixes of a tree, fingerprints that one task compares, bytes and documents of a bucket, buckets of a task.
+GROUP, RANGE, BYTES, DOCS, TOGETHER = 600_000, 2_000_000, 6_000_000, 4_000, 4
+#: Bits of a word in a prefix, words in the longest one.
+BITS, LONGEST = 6, 10
 
 
-def _prefix(words: Words, at: np.ndarray) -> np.ndarray:
-    """The first two words of suffixes, BITS each."""
-    symbol = (words.code >> U(64 - BITS)).astype(np.int64)
-    return (symbol[at] << BITS) | symbol[at + 1]
+class Bucket:
+    """The texts of a bucket: their words, and each window's fingerprint, text and place."""
 
+    def __init__(self, docs: pa.Table) -> None:
+        self.words: list[Words] = []
+        ids, marked, prints, texts, places, runs, n = [], [], [], [], [], [], 0
+        for batch in docs.to_batches():
+            own = batch.column("doc_id")
+            for rows, data, at in pieces(batch):
+                words = Words(data, at, EXACT)
+                fingerprints, begin = words.windows(WINDOW, 21)
+                text = np.searchsorted(words.first, begin, "right") - 1
+                known = own.slice(rows.start, rows.stop - rows.start).is_valid().to_numpy(zero_copy_only=False)
+                keep = known[text]  # null ids neither cause nor suffer removals
+                prints.append(fingerprints[keep])
+                texts.append(text[keep] + n)
+                places.append((begin - words.first[text])[keep])
+                runs.append(np.stack([np.full(keep.sum(), len(self.words)), begin[keep]], 1))
+                marked += marks(words)
+                self.words.append(words)
+                n += len(words.count)
+            ids.append(own.fill_null(0).to_numpy())
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.ids, self.marks = join(ids, np.int64), np.array(marked, U)
+        self.prints, self.text, self.place = join(prints, U), join(texts, np.int64), join(places, np.int64)
+        self.run = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
+
+    def passages(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The words of windows, as numbers (windows x WINDOW), and what the numbers mean."""
+        number: dict[bytes, int] = {}
+        out = np.empty((len(at), WINDOW), np.int32)
+        for k, words in enumerate(self.words):
+            own = np.flatnonzero(self.run[at, 0] == k)
+            if not len(own):
+                continue
+            index = self.run[at[own], 1][:, None] + np.arange(WINDOW)
+            used = np.unique(index)
+            code, check, raw = words.code[used], words.checks()[used], words.data.tobytes()
+            _, first, back = np.unique(code, return_index=True, return_inverse=True)
+            if (check[first][back] != check).any():  # words that share a code: all are taken one by one
+                first, back = np.arange(len(used)), np.arange(len(used))
+            met = [raw[a:b] for a, b in zip(words.start[used[first]].tolist(), words.end[used[first]].tolist(), strict=True)]
+            mine = np.array([number.setdefault(w, len(number)) for w in met], np.int32)[back]
+            out[own] = mine[np.searchsorted(used, index)]
+        return out, list(number)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << 2 * BITS, np.int64)
-    for batch in batches:
-        for _, data, at in pieces(batch):
-            words = Words(data, at, EXACT)
-            left = np.repeat(words.first[1:], words.count)
-            seen += np.bincount(_prefix(words, np.flatnonzero(np.arange(len(left)) + WINDOW <= left)), minlength=len(seen))
-    cells = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
 
+def marks(words: Words) -> list[int]:
+    """64 bits that tell apart texts that share an id."""
+    total = np.concatenate([np.zeros(1, U), np.cumsum(words.code * (np.arange(len(words.code), dtype=U) + U(1)), dtype=U)])
+    base = np.concatenate([np.zeros(1, U), np.cumsum(words.code, dtype=U)])
+    first = words.first
+    sums = total[first[1:]] - total[first[:-1]] - (base[first[1:]] - base[first[:-1]]) * first[:-1].astype(U)
+    return mix(sums).tolist()
 
-def split_prefixes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Per two-word prefix: its first group and in how many groups the next two words split it; and the groups' number.
 
-    Neighbouring prefixes share a group while it stays under `most` suffixes; a prefix of more is made longer.
-    """
-    first, ways = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-    group, held = 0, 0
-    for cell, n in enumerate(counts):
-        if held and held + n > most:
-            group, held = group + 1, 0
-        first[cell] = group
-        if n > most:
-            ways[cell] = -(-n // most)
-            group, held = group + int(ways[cell]), 0
-        else:
-            held += n
-    return first, ways, group + 1
-
-
-class _Chunk:
-    """Suffixes of some documents until they are dealt out to groups."""
+def _leaves(ranges: int) -> Callable:
+    """A bucket's different fingerprints, for the range that each falls into."""
 
-    def __init__(self) -> None:
-        self.ids: list[int] = []
-        self.marks: list[int] = []
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        prints = np.unique(Bucket(docs).prints)
+        cuts = np.searchsorted(prints, (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(U))
+        keys, blobs = [], []
+        for i, own in enumerate(np.split(prints, cuts)):
+            if len(own):
+                keys.append(i)
+                blobs.append(pack(own, rising=(0,)))
+        return pa.table({"range": pa.array(keys, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(keys), pa.int64()), "blob": binary(blobs)})
 
-    def add(self, ids: list, words: Words, first: np.ndarray, ways: np.ndarray) -> None:
-        print_of, at = words.windows(WINDOW, 21)
-        group = first[cell := _prefix(words, at)]
-        if (split := np.flatnonzero(ways[cell] > 1)).size:
-            more = mix(words.code[at[split] + 2] ^ (words.code[at[split] + 3] * U(3))) % ways[cell[split]].astype(U)
-            group[split] += more.astype(np.int64)
-        text = np.searchsorted(words.first, at, "right") - 1
-        known = np.array([i is not None for i in ids], bool)[text] if len(at) else np.zeros(0, bool)
-        self.parts.append((print_of[known], group[known].astype(np.int32), (text[known] + len(self.ids)).astype(np.uint32), (at - words.first[text])[known].astype(np.uint32)))
-        self.ids += [0 if i is None else i for i in ids]
-        self.marks += marks(words)
-        self.n += len(at)
+    return run
 
 
-def marks(words: Words) -> list[int]:
-    """32 bits that tell apart texts that share an id."""
-    total = np.concatenate([np.zeros(1, U), np.cumsum(words.code * (np.arange(len(words.code), dtype=U) + U(1)), dtype=U)])
-    base = np.concatenate([np.zeros(1, U), np.cumsum(words.code, dtype=U)])
-    first = words.first
-    sums = total[first[1:]] - total[first[:-1]] - (base[first[1:]] - base[first[:-1]]) * first[:-1].astype(U)
-    return (mix(sums) >> U(32)).tolist()
-
-
-def _rows(bucket: np.ndarray, ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, prints: np.ndarray | None) -> tuple[list[int], list[bytes]]:
-    """Blobs by bucket (sorted): documents with marks, then each suffix's document, place and, rising, fingerprint."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    keys, blobs = [], []
-    for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-        if lo < hi:
-            docs, own = np.unique(text[lo:hi], return_inverse=True)
-            own = own.astype(np.uint16 if len(docs) < 65536 else np.uint32)
-            arrays = [ids[docs].astype(np.int64).view(U), mark[docs].astype(np.uint32), own, at[lo:hi]]
-            keys.append(int(bucket[lo]))
-            blobs.append(pack(*arrays, *([prints[lo:hi]] if prints is not None else []), rising=(0, 4)))
-    return keys, blobs
-
-
-def _dealt(chunk: _Chunk, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes that the groups must see (each window's smallest document only), and those already known to repeat."""
-    ids = np.array(chunk.ids, np.int64)
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], np.diff(ids[order]) != 0])) if len(ids) else order
-    prints, group, text, at = (np.concatenate(x) for x in zip(*chunk.parts, strict=True))
-    mark = np.array(chunk.marks, np.uint32)
+def _shared(group: pa.Table) -> pa.Table:
+    """Of a range's fingerprints those of several buckets, for each of these."""
+    buckets = group.column("bucket").to_pylist()
+    found = [unpack(blob, rising=(0,))[0] for blob in group.column("blob").to_pylist()]
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    prints = np.concatenate(found)
     by = np.argsort(prints, kind="stable")
-    prints, group, text, at = prints[by], group[by], text[by], at[by]
-    heads = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-    run = np.repeat(np.arange(len(heads)), np.diff([*heads, len(prints)]))
-    later = rank[text] > np.minimum.reduceat(rank[text], heads)[run] if len(prints) else np.zeros(0, bool)
-    keep = np.flatnonzero(~later)
-    keep = keep[np.argsort(group[keep], kind="stable")]
-    keys, blobs = _rows(group[keep], ids, mark, text[keep], at[keep], prints[keep])
-    for kind, k, b in (("group", keys, blobs), ("known", *_known(ids, mark, text[later], at[later], n_buckets))):
-        for i in range(0, len(k), 64):
-            n = len(k[i : i + 64])
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(k[i : i + 64], pa.int64()), binary(b[i : i + 64])], ["kind", "grp", "blob"])
-
-
-def _known(ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, n_buckets: int) -> tuple[list[int], list[bytes]]:
-    bucket = ids[text] % n_buckets
-    by = np.lexsort((at, text, bucket))
-    return _rows(bucket[by], ids, mark, text[by], at[by], None)
-
-
-def _suffixes(first: np.ndarray, ways: np.ndarray, n_buckets: int) -> Callable:
+    prints, owner = prints[by], owner[by]
+    same = prints[1:] == prints[:-1]
+    several = np.zeros(len(prints), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    prints, owner = prints[several], owner[several]
+    by = np.argsort(owner, kind="stable")  # keeps the fingerprints rising
+    parts = [(b, x) for b, x in zip(buckets, np.split(prints[by], np.searchsorted(owner[by], np.arange(1, len(buckets)))), strict=True) if len(x)]
+    return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int64()), "n": pa.array([len(x) for _, x in parts], pa.int64()), "blob": binary([pack(x, rising=(0,)) for _, x in parts])})
+
+
+def _hits(ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray) -> bytes:
+    """Places of texts: the texts' ids and marks, then each place's text and word."""
+    docs, own = np.unique(text, return_inverse=True)
+    return pack(ids[docs].view(U), mark[docs], own.astype(np.uint32), at.astype(np.uint32))
+
+
+def paths(words: list[bytes], passages: np.ndarray) -> np.ndarray:
+    """The leading LONGEST words of passages as one number, BITS a word, so that a prefix is a number's leading bits."""
+    raw = b" ".join(words)
+    code = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), EXACT).code >> U(64 - BITS)
+    out = np.zeros(len(passages), U)
+    for k in range(LONGEST):
+        out = (out << U(BITS)) | code[passages[:, k]]
+    return out
+
+
+def _cells(width: int, path: np.ndarray) -> np.ndarray:
+    """The prefixes of `width` bits, each told from shorter and longer ones by a leading 1."""
+    return ((path >> U(BITS * LONGEST - width)) | U(1 << width)).astype(np.int64)
+
+
+def _blobs(cell: np.ndarray, ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """By cell: the number of suffixes, and the suffixes with the words they are made of."""
+    by = np.argsort(cell, kind="stable")
+    for own in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
+        if len(own):
+            used, symbol = np.unique(passages[own], return_inverse=True)
+            symbol = symbol.reshape(len(own), WINDOW).astype(np.uint16 if len(used) <= 65_536 else np.uint32)
+            docs, mine = np.unique(text[own], return_inverse=True)
+            raw = np.frombuffer(b" ".join(words[i] for i in used.tolist()), np.uint8)
+            yield int(cell[own[0]]), len(own), pack(ids[docs].view(U), mark[docs], mine.astype(np.uint32), at[own].astype(np.uint32), raw, *np.ascontiguousarray(symbol.T))
+
+
+def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    ids, mark, mine, at, raw, *symbol = unpack(blob)
+    return ids.view(np.int64), mark, mine.astype(np.int64), at.astype(np.int64), raw.tobytes().split(b" "), np.stack(symbol, 1).astype(np.int32)
+
+
+def _suffixes(width: int) -> Callable:
+    """A bucket's suffixes that other texts may share, by the prefix they begin with, and those that it knows to repeat.
+
+    Of equal passages only those of the bucket's smallest id go to the trees.
+    """
+
+    def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        bucket = Bucket(docs)
+        abroad = [unpack(blob, rising=(0,))[0] for blob in shared.column("blob").to_pylist()]
+        abroad = np.sort(np.concatenate(abroad)) if abroad else np.zeros(0, U)
+        by = np.argsort(bucket.prints, kind="stable")
+        prints = bucket.prints[by]
+        place = np.minimum(np.searchsorted(abroad, prints), max(0, len(abroad) - 1))
+        maybe = abroad[place] == prints if len(abroad) else np.zeros(len(prints), bool)
+        again = prints[1:] == prints[:-1]
+        maybe[1:] |= again
+        maybe[:-1] |= again
+        at, prints = by[maybe], prints[maybe]
+        passages, words = bucket.passages(at)
+        owner = bucket.ids[bucket.text[at]]
+        out: list[tuple[int | None, int, bytes]] = []
+        if len(at):
+            # equal fingerprints are only taken as one passage where the words are equal
+            heads = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (passages[1:] != passages[:-1]).any(1)]))
+            least = np.repeat(np.minimum.reduceat(owner, heads), np.diff([*heads, len(at)]))
+            known, left = np.flatnonzero(owner > least), np.flatnonzero(owner == least)
+            if len(known):
+                out.append((None, len(known), _hits(bucket.ids, bucket.marks, bucket.text[at[known]], bucket.place[at[known]])))
+            cell = _cells(width, paths(words, passages[left]))
+            out += _blobs(cell, bucket.ids, bucket.marks, bucket.text[at[left]], bucket.place[at[left]], passages[left], words)
+        return pa.table({"cell": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()), "blob": binary([x[2] for x in out])})
+
+    return run
+
+
+def _longer(width: int) -> Callable:
+    """Suffixes dealt out anew by prefixes of `width` bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for rows, data, at in pieces(batch):
-                chunk.add(ids[rows], Words(data, at, EXACT), first, ways)
-                if chunk.n >= CHUNK:
-                    yield from _dealt(chunk, n_buckets)
-                    chunk = _Chunk()
-        if chunk.n:
-            yield from _dealt(chunk, n_buckets)
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                ids, mark, mine, at, words, passages = _opened(blob)
+                out = list(_blobs(_cells(width, paths(words, passages)), ids, mark, mine, at, passages, words))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64()), binary([x[2] for x in out])], ["cell", "bucket", "n", "blob"])
 
     return run
 
 
-def _trees(n_buckets: int) -> Callable:
-    """One group's tree: leaves in path order; an inner node at depth WINDOW or below is a run of one window."""
-
-    def run(group: pa.Table) -> pa.Table:
-        kind = group.column("kind")[0].as_py()
-        blobs = group.column("blob").to_pylist()
-        if kind == "known":
-            return pa.table({"bucket": group.column("grp"), "blob": group.column("blob")})
-        ids, mark, text, at, prints, base = [], [], [], [], [], 0
-        for blob in blobs:
-            d, m, own, a, p = unpack(blob, rising=(0, 4))
-            ids.append(d.view(np.int64))
-            mark.append(m)
-            text.append(own.astype(np.uint32) + np.uint32(base))
-            at.append(a)
-            prints.append(p)
-            base += len(d)
-        del blobs
-        ids, mark, text, at, prints = (np.concatenate(x) for x in (ids, mark, text, at, prints))
-        leaves = np.argsort(prints, kind="stable")
-        path = prints[leaves]
-        heads = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        del path, prints
-        owner = ids[text[leaves]]
-        repeated = owner > np.repeat(np.minimum.reduceat(owner, heads), np.diff([*heads, len(owner)]))
-        hit = leaves[repeated]
-        keys, out = _known(ids, mark, text[hit], at[hit], n_buckets)
-        return pa.table({"bucket": pa.array(keys, pa.int64()), "blob": binary(out)})
+class Tree:
+    """A suffix tree down to depth WINDOW, as suffix array and longest common prefixes of neighbours."""
+
+    def __init__(self, passages: np.ndarray) -> None:
+        wide = np.zeros((len(passages), WINDOW + WINDOW % 2), np.uint32)
+        wide[:, :WINDOW] = passages
+        pairs = (wide[:, ::2].astype(U) << U(32)) | wide[:, 1::2]
+        self.order = np.lexsort(tuple(pairs.T[::-1]))
+        differ = passages[self.order[1:]] != passages[self.order[:-1]]
+        self.common = np.where(differ.any(1), differ.argmax(1), WINDOW)
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The topmost inner nodes of `depth` words or more: where their leaves begin and end in the order."""
+        deep = np.concatenate([[False], self.common >= depth, [False]]).astype(np.int8)
+        step = np.diff(deep)
+        return np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1
 
+
+class _Held:
+    """Suffixes under one prefix, from several buckets."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.n = 0
+
+    def add(self, bucket: int, blob: bytes) -> None:
+        ids, mark, mine, at, words, passages = _opened(blob)
+        self.parts.append((np.full(len(mine), bucket), ids[mine], mark[mine], at, words, passages))
+        self.n += len(mine)
+
+    def repeats(self) -> Iterator[tuple[int, bytes]]:
+        """By bucket the suffixes under deep inner nodes but for those of the node's smallest id, which stay held."""
+        words = pa.array([w for p in self.parts for w in p[4]], pa.binary()).dictionary_encode()
+        number, base, passages = words.indices.to_numpy().astype(np.int32), 0, []
+        for p in self.parts:
+            passages.append(number[base + p[5]])
+            base += len(p[4])
+        passages = np.concatenate(passages)
+        bucket, ids, mark, at = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        tree = Tree(passages)
+        begin, end = tree.nodes(WINDOW)
+        leaf = np.repeat(begin - np.cumsum(end - begin) + end - begin, end - begin) + np.arange((end - begin).sum())
+        under = tree.order[leaf]
+        starts = np.cumsum(end - begin) - (end - begin)
+        least = np.repeat(np.minimum.reduceat(ids[under], starts), end - begin) if len(under) else ids[under]
+        hit = under[ids[under] > least]
+        stay = np.ones(len(ids), bool)
+        stay[hit] = False
+        dictionary = words.dictionary.to_pylist()
+        self.parts, self.n = [(bucket[stay], ids[stay], mark[stay], at[stay], dictionary, passages[stay])], int(stay.sum())
+        hit = hit[np.argsort(bucket[hit], kind="stable")]
+        for own in np.split(hit, np.flatnonzero(np.diff(bucket[hit])) + 1):
+            if len(own):
+                text = np.unique(np.stack([ids[own].view(U), mark[own]]), axis=1, return_inverse=True)
+                yield int(bucket[own[0]]), _hits(text[0][0].view(np.int64), text[0][1], text[1].ravel(), at[own])
+
+
+def _trees(most: int) -> Callable:
+    """The repeats under one prefix; batch by batch, so that a passage of very many buckets is never held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, limit = _Held(), most
+
+        def told() -> pa.RecordBatch:
+            found = list(held.repeats())
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), binary([x for _, x in found])], ["bucket", "blob"])
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                held.add(bucket, blob)
+                if held.n > limit:
+                    yield told()
+                    limit = max(most, 2 * held.n)
+        if held.n:
+            yield told()
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
 def _rewritten(docs: pa.Table, found: pa.Table) -> pa.Table:
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
     starts: dict[tuple[int, int], list[np.ndarray]] = {}
     for blob in found.column("blob").to_pylist():
-        ids, mark, own, at = unpack(blob, rising=(0,))
+        ids, mark, own, at = unpack(blob)
         by = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[by], np.arange(len(ids) + 1))
         for i, key in enumerate(zip(ids.view(np.int64).tolist(), mark.tolist(), strict=True)):
-            starts.setdefault(key, []).append(at[by[cuts[i] : cuts[i + 1]]])
+            starts.setdefault(key, []).append(at[by[cuts[i] : cuts[i + 1]]].astype(np.int64))
     n_words, n_removed, sha, kept_text = [], [], [], []
     for batch in docs.to_batches():
         ids = batch.column("doc_id").to_pylist()
@@ -197,7 +294,7 @@ def _rewritten(docs: pa.Table, found: pa.Table) -> pa.Table:
                 lo, n = words.first[i], int(words.count[i])
                 cover = np.zeros(n + 1, np.int64)
                 for x in starts.get((doc, mark), ()):
-                    cover[x] += 1
+                    np.add.at(cover, x, 1)
                     np.subtract.at(cover, x + WINDOW, 1)
                 gone = np.cumsum(cover)[:n] > 0
                 kept = joined(data, words.start[lo : lo + n][~gone], words.end[lo : lo + n][~gone])
@@ -205,7 +302,8 @@ def _rewritten(docs: pa.Table, found: pa.Table) -> pa.Table:
                 n_removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8", "replace"))
-    return pa.Table.from_arrays([docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names)
+    columns = [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())]
+    return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -222,37 +320,51 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _prime(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256 and kept_text.
 
-    A word goes if some run of 13 words over it also starts in a document of smaller doc_id. Suffixes are dealt to
-    groups by prefixes of two words, or four where two would not fit a task's memory, from counts over all texts;
-    each group builds the tree of its suffixes down to 13 words, edges labelled by a 64-bit fingerprint, and the
-    suffixes under an inner node there, but those of the node's smallest document, are repeats. Overlapping ones
-    join to the maximal repeats that are cut out. Before the shuffle a map task keeps of each window only its
-    smallest document, so a passage that a third of all documents share reaches a group once per map chunk.
+    A word goes if some run of 13 words over it also starts in a document of smaller doc_id. Documents are dealt to
+    buckets of a few MB. Leaves that no deep inner node can have are left out first: suffixes whose first 13 words'
+    fingerprint neither two buckets nor two places of their own bucket share. The others are dealt out, with their
+    words, by a prefix whose length in bits follows from their number, and that is lengthened, word by word, wherever
+    more than `most` suffixes share it. Each group's suffix array and longest common prefixes give its tree; the
+    suffixes under an inner node of 13 words, but for those of its smallest document, are repeats, by their words and
+    not by fingerprints. Trees end at 13 words: beyond, overlapping runs join to the maximal repeats that are cut out.
+
+    A bucket sends of equal passages only its smallest document's, and a group takes its suffixes in batches of which
+    it keeps each passage's smallest document, so a passage that a third of all documents share is never held whole.
 
     Null or empty texts have no words; texts under 13 words stay whole; null ids neither cause nor suffer removals.
-    Rows that repeat an id are cut alike. Other columns are ignored, an empty table gives no rows.
+    Rows that repeat an id are cut each by its own text, repeated rows alike. Other columns are ignored, an empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
     docs = id_and_text(docs)
-    counted = docs.select("text").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << 2 * BITS, np.int64)
-    for row in counted:  # at most 4,096 rows
-        counts[row.cell] = row.n
-    first, ways, n_groups = split_prefixes(counts, GROUP)
-    n_buckets = _prime(in_parts(docs.count(), DOCS))
-    sent = docs.mapInArrow(_suffixes(first, ways, n_buckets), "kind string, grp long, blob binary")
-    found = table(sent.groupBy("kind", "grp").applyInArrow(_trees(n_buckets), "bucket long, blob binary"), "repeats")
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(n_buckets)), F.pmod(F.xxhash64("text"), F.lit(n_buckets)))
-    return docs.groupBy(bucket.alias("bucket")).cogroup(found.groupBy("bucket")).applyInArrow(_rewritten, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_buckets = 1 + max(size.bytes // BYTES, size.n // DOCS)
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)))
+    dealt = bucketed(dealt, "texts", min(100_000, 1 + n_buckets // TOGETHER), "bucket")
+
+    prints = dealt.groupBy("bucket").applyInArrow(_leaves(1 + size.bytes // 4 // RANGE), "range long, bucket long, blob binary")
+    shared = table(prints.groupBy("range").applyInArrow(_shared, "bucket long, n long, blob binary"), "shared")
+    n = shared.agg(F.sum("n")).first()[0] or 0
+    width = min(BITS * LONGEST, int(4 * n // most).bit_length())
+    kinds = "cell long, bucket long, n long, blob binary"
+    sent = table(dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffixes(width), kinds), "suffixes")
+    parts, heavy = [], sent.where("cell IS NOT NULL")
+    while width < BITS * LONGEST:
+        counts = heavy.groupBy("cell").agg(F.sum("n").alias("held"))
+        over = counts.where(F.col("held") > most).select("cell")
+        if over.isEmpty():
+            break
+        width = min(BITS * LONGEST, width + BITS)
+        parts.append(heavy.join(over, "cell", "left_anti"))
+        heavy = table(heavy.join(over, "cell", "left_semi").mapInArrow(_longer(width), kinds), "longer")
+    for part in parts:
+        heavy = heavy.union(part)
+    repeats = table(heavy.groupBy("cell").applyInArrow(_trees(most), "bucket long, blob binary"), "repeats")
+    drop_table(shared)
+    known = sent.where("cell IS NULL").select("bucket", "blob").union(repeats)
+    return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_rewritten, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 #: The same over `documents` in DuckDB's SQL.

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,24 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written inside are dropped when it is done: what is written is read from the table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewalk-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidewalk_path = path
@@ -56,7 +71,8 @@ def bucketed(df: DataFrame, name: str, files: int, column: str) -> DataFrame:
     spark = df.sparkSession
     label = f"tidewalk_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{label}"
-    df.repartition(files, column).write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(label)
+    with _shuffles_dropped(spark):
+        df.repartition(files, column).write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(label)
     atexit.register(_forget, spark, path)
     return spark.table(label)
 

@@ -16,7 +16,7 @@ from .packed import pack, unpack
 
 WINDOW = 13
 #: Suffixes of a tree, fingerprints that one task compares, bytes and documents of a bucket, buckets of a task.
-GROUP, RANGE, BYTES, DOCS, TOGETHER = 600_000, 2_000_000, 6_000_000, 4_000, 4
+GROUP, RANGE, BYTES, DOCS, TOGETHER = 600_000, 2_000_000, 4_000_000, 4_000, 4
 #: Bits of a word in a prefix, words in the longest one.
 BITS, LONGEST = 6, 10
 
@@ -24,7 +24,8 @@ BITS, LONGEST = 6, 10
 class Bucket:
     """The texts of a bucket: their words, and each window's fingerprint, text and place."""
 
-    def __init__(self, docs: pa.Table) -> None:
+    def __init__(self, docs: pa.Table, bits: int) -> None:
+        """bits: those of a fingerprint that are kept."""
         self.words: list[Words] = []
         ids, marked, prints, texts, places, runs, n = [], [], [], [], [], [], 0
         for batch in docs.to_batches():
@@ -35,7 +36,7 @@ class Bucket:
                 text = np.searchsorted(words.first, begin, "right") - 1
                 known = own.slice(rows.start, rows.stop - rows.start).is_valid().to_numpy(zero_copy_only=False)
                 keep = known[text]  # null ids neither cause nor suffer removals
-                prints.append(fingerprints[keep])
+                prints.append(fingerprints[keep] >> U(64 - bits))
                 texts.append(text[keep] + n)
                 places.append((begin - words.first[text])[keep])
                 runs.append(np.stack([np.full(keep.sum(), len(self.words)), begin[keep]], 1))
@@ -48,6 +49,14 @@ class Bucket:
         self.prints, self.text, self.place = join(prints, U), join(texts, np.int64), join(places, np.int64)
         self.run = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
 
+    def paths(self, at: np.ndarray) -> np.ndarray:
+        """The windows' leading words, as `paths` has them."""
+        out = np.zeros(len(at), U)
+        for k, words in enumerate(self.words):
+            own = np.flatnonzero(self.run[at, 0] == k)
+            out[own] = paths(words.code[self.run[at[own], 1][:, None] + np.arange(LONGEST)])
+        return out
+
     def passages(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """The words of windows, as numbers (windows x WINDOW), and what the numbers mean."""
         number: dict[bytes, int] = {}
@@ -77,12 +86,12 @@ def marks(words: Words) -> list[int]:
     return mix(sums).tolist()
 
 
-def _leaves(ranges: int) -> Callable:
+def _leaves(ranges: int, bits: int) -> Callable:
     """A bucket's different fingerprints, for the range that each falls into."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        prints = np.unique(Bucket(docs).prints)
-        cuts = np.searchsorted(prints, (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(U))
+        prints = np.unique(Bucket(docs, bits).prints)
+        cuts = np.searchsorted(prints, (np.arange(1, ranges, dtype=object) * (1 << bits) // ranges).astype(U))
         keys, blobs = [], []
         for i, own in enumerate(np.split(prints, cuts)):
             if len(own):
@@ -117,31 +126,41 @@ def _hits(ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray) -
     return pack(ids[docs].view(U), mark[docs], own.astype(np.uint32), at.astype(np.uint32))
 
 
-def paths(words: list[bytes], passages: np.ndarray) -> np.ndarray:
-    """The leading LONGEST words of passages as one number, BITS a word, so that a prefix is a number's leading bits."""
-    raw = b" ".join(words)
-    code = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), EXACT).code >> U(64 - BITS)
-    out = np.zeros(len(passages), U)
+def paths(codes: np.ndarray) -> np.ndarray:
+    """The leading LONGEST words of passages (by their words' codes) as one number, BITS a word, so that a prefix is a number's leading bits."""
+    out = np.zeros(len(codes), U)
     for k in range(LONGEST):
-        out = (out << U(BITS)) | code[passages[:, k]]
+        out = (out << U(BITS)) | (codes[:, k] >> U(64 - BITS))
     return out
 
 
-def _cells(width: int, path: np.ndarray) -> np.ndarray:
+def cells(width: int, path: np.ndarray) -> np.ndarray:
     """The prefixes of `width` bits, each told from shorter and longer ones by a leading 1."""
     return ((path >> U(BITS * LONGEST - width)) | U(1 << width)).astype(np.int64)
 
 
-def _blobs(cell: np.ndarray, ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """By cell: the number of suffixes, and the suffixes with the words they are made of."""
-    by = np.argsort(cell, kind="stable")
+def dealt_cells(width: int, path: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Each path's shortest prefix, of `width` bits or whole words more, that isn't heavy (or else its longest)."""
+    cell = cells(width, path)
+    while len(heavy) and width < BITS * LONGEST:
+        width = min(BITS * LONGEST, width + BITS)
+        more = np.isin(cell, heavy)
+        if not more.any():
+            break
+        cell[more] = cells(width, path[more])
+    return cell
+
+
+def _blobs(cell: np.ndarray, path: np.ndarray, ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """By cell the suffixes, with the words they are made of."""
+    by = np.lexsort((path, cell))  # neighbours begin alike, which packs better
     for own in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
         if len(own):
             used, symbol = np.unique(passages[own], return_inverse=True)
             symbol = symbol.reshape(len(own), WINDOW).astype(np.uint16 if len(used) <= 65_536 else np.uint32)
             docs, mine = np.unique(text[own], return_inverse=True)
             raw = np.frombuffer(b" ".join(words[i] for i in used.tolist()), np.uint8)
-            yield int(cell[own[0]]), len(own), pack(ids[docs].view(U), mark[docs], mine.astype(np.uint32), at[own].astype(np.uint32), raw, *np.ascontiguousarray(symbol.T))
+            yield int(cell[own[0]]), pack(ids[docs].view(U), mark[docs], mine.astype(np.uint32), at[own].astype(np.uint32), raw, *np.ascontiguousarray(symbol.T))
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
@@ -149,50 +168,66 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return ids.view(np.int64), mark, mine.astype(np.int64), at.astype(np.int64), raw.tobytes().split(b" "), np.stack(symbol, 1).astype(np.int32)
 
 
-def _suffixes(width: int) -> Callable:
+def _abroad(bucket: Bucket, shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a bucket's windows by fingerprint, and which of them, in that order, other buckets may have."""
+    prints = [unpack(blob, rising=(0,))[0] for blob in shared.column("blob").to_pylist()]
+    prints = np.sort(np.concatenate(prints)) if prints else np.zeros(0, U)
+    by = np.argsort(bucket.prints, kind="stable")
+    own = bucket.prints[by]
+    place = np.minimum(np.searchsorted(prints, own), max(0, len(prints) - 1))
+    return by, prints[place] == own if len(prints) else np.zeros(len(own), bool)
+
+
+def _counted(width: int, bits: int, least: int) -> Callable:
+    """How many of a bucket's suffixes that others may have begin with each prefix of `width` bits, and, under prefixes of `least` or more, with longer ones."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        bucket = Bucket(docs, bits)
+        by, far = _abroad(bucket, shared)
+        at = by[far]
+        fresh = np.concatenate([[True], bucket.prints[at[1:]] != bucket.prints[at[:-1]]])[: len(at)]
+        path, out, at_width = bucket.paths(at[fresh]), [], width
+        while len(path):
+            cell, back, many = np.unique(cells(at_width, path), return_inverse=True, return_counts=True)
+            out.append((cell, many))
+            path = path[many[back] >= least]
+            if at_width == BITS * LONGEST:
+                break
+            at_width = min(BITS * LONGEST, at_width + BITS)
+        cell, many = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(many, pa.int64())})
+
+    return run
+
+
+def _suffixes(width: int, bits: int, heavy: np.ndarray) -> Callable:
     """A bucket's suffixes that other texts may share, by the prefix they begin with, and those that it knows to repeat.
 
-    Of equal passages only those of the bucket's smallest id go to the trees.
+    Of equal passages only those of the bucket's smallest id go to the trees, if other buckets may have them too.
+    Known repeats come under a negative cell, the bucket's own.
     """
 
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        bucket = Bucket(docs)
-        abroad = [unpack(blob, rising=(0,))[0] for blob in shared.column("blob").to_pylist()]
-        abroad = np.sort(np.concatenate(abroad)) if abroad else np.zeros(0, U)
-        by = np.argsort(bucket.prints, kind="stable")
+        bucket, number = Bucket(docs, bits), key[0].as_py()
+        by, far = _abroad(bucket, shared)
         prints = bucket.prints[by]
-        place = np.minimum(np.searchsorted(abroad, prints), max(0, len(abroad) - 1))
-        maybe = abroad[place] == prints if len(abroad) else np.zeros(len(prints), bool)
-        again = prints[1:] == prints[:-1]
+        maybe, again = far.copy(), prints[1:] == prints[:-1]
         maybe[1:] |= again
         maybe[:-1] |= again
-        at, prints = by[maybe], prints[maybe]
-        passages, words = bucket.passages(at)
-        owner = bucket.ids[bucket.text[at]]
-        out: list[tuple[int | None, int, bytes]] = []
+        at, prints, far = by[maybe], prints[maybe], far[maybe]
+        out: list[tuple[int, bytes]] = []
         if len(at):
+            passages, words = bucket.passages(at)
+            owner = bucket.ids[bucket.text[at]]
             # equal fingerprints are only taken as one passage where the words are equal
             heads = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (passages[1:] != passages[:-1]).any(1)]))
             least = np.repeat(np.minimum.reduceat(owner, heads), np.diff([*heads, len(at)]))
-            known, left = np.flatnonzero(owner > least), np.flatnonzero(owner == least)
+            known, left = at[owner > least], np.flatnonzero((owner == least) & far)
             if len(known):
-                out.append((None, len(known), _hits(bucket.ids, bucket.marks, bucket.text[at[known]], bucket.place[at[known]])))
-            cell = _cells(width, paths(words, passages[left]))
-            out += _blobs(cell, bucket.ids, bucket.marks, bucket.text[at[left]], bucket.place[at[left]], passages[left], words)
-        return pa.table({"cell": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()), "blob": binary([x[2] for x in out])})
-
-    return run
-
-
-def _longer(width: int) -> Callable:
-    """Suffixes dealt out anew by prefixes of `width` bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                ids, mark, mine, at, words, passages = _opened(blob)
-                out = list(_blobs(_cells(width, paths(words, passages)), ids, mark, mine, at, passages, words))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64()), binary([x[2] for x in out])], ["cell", "bucket", "n", "blob"])
+                out.append((-1 - number, _hits(bucket.ids, bucket.marks, bucket.text[known], bucket.place[known])))
+            path = bucket.paths(at[left])
+            out += _blobs(dealt_cells(width, path, heavy), path, bucket.ids, bucket.marks, bucket.text[at[left]], bucket.place[at[left]], passages[left], words)
+        return pa.table({"cell": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([number] * len(out), pa.int64()), "blob": binary([x[1] for x in out])})
 
     return run
 
@@ -255,7 +290,7 @@ class _Held:
 
 
 def _trees(most: int) -> Callable:
-    """The repeats under one prefix; batch by batch, so that a passage of very many buckets is never held whole."""
+    """The repeats under one prefix, batch by batch, so that a passage of very many buckets is never held whole; known ones as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, limit = _Held(), most
@@ -265,6 +300,9 @@ def _trees(most: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), binary([x for _, x in found])], ["bucket", "blob"])
 
         for batch in batches:
+            if batch.num_rows and batch.column("cell")[0].as_py() < 0:
+                yield batch.select(["bucket", "blob"])
+                continue
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 held.add(bucket, blob)
                 if held.n > limit:
@@ -344,27 +382,20 @@ def without_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)))
     dealt = bucketed(dealt, "texts", min(100_000, 1 + n_buckets // TOGETHER), "bucket")
 
-    prints = dealt.groupBy("bucket").applyInArrow(_leaves(1 + size.bytes // 4 // RANGE), "range long, bucket long, blob binary")
+    # so many bits that a window meets another by chance in one of 64 cases at most
+    bits = min(64, (size.bytes // 2).bit_length() + 6)
+    prints = dealt.groupBy("bucket").applyInArrow(_leaves(1 + size.bytes // 4 // RANGE, bits), "range long, bucket long, blob binary")
     shared = table(prints.groupBy("range").applyInArrow(_shared, "bucket long, n long, blob binary"), "shared")
     n = shared.agg(F.sum("n")).first()[0] or 0
-    width = min(BITS * LONGEST, int(4 * n // most).bit_length())
-    kinds = "cell long, bucket long, n long, blob binary"
-    sent = table(dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffixes(width), kinds), "suffixes")
-    parts, heavy = [], sent.where("cell IS NOT NULL")
-    while width < BITS * LONGEST:
-        counts = heavy.groupBy("cell").agg(F.sum("n").alias("held"))
-        over = counts.where(F.col("held") > most).select("cell")
-        if over.isEmpty():
-            break
-        width = min(BITS * LONGEST, width + BITS)
-        parts.append(heavy.join(over, "cell", "left_anti"))
-        heavy = table(heavy.join(over, "cell", "left_semi").mapInArrow(_longer(width), kinds), "longer")
-    for part in parts:
-        heavy = heavy.union(part)
-    repeats = table(heavy.groupBy("cell").applyInArrow(_trees(most), "bucket long, blob binary"), "repeats")
+    width = min(BITS * LONGEST, int(n // most).bit_length())
+    both = lambda: dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
+    # where a prefix has over `most` suffixes, buckets with under `least` of them have a quarter of `most` at most
+    counts = both().applyInArrow(_counted(width, bits, max(1, most // (4 * n_buckets))), "cell long, n long")
+    heavy = counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("cell").collect()  # n / most a length
+    sent = both().applyInArrow(_suffixes(width, bits, np.array(sorted(r.cell for r in heavy), np.int64)), "cell long, bucket long, blob binary")
+    repeats = table(sent.groupBy("cell").applyInArrow(_trees(most), "bucket long, blob binary"), "repeats")
     drop_table(shared)
-    known = sent.where("cell IS NULL").select("bucket", "blob").union(repeats)
-    return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_rewritten, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_rewritten, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 #: The same over `documents` in DuckDB's SQL.

@@ -92,10 +92,11 @@ def signal_shape(scores: DataFrame, least: int = 200) -> DataFrame:
 
 
 def processed(rets: DataFrame, members: DataFrame | None, p: Params = DAILY) -> DataFrame:
-    """t, date, symbol, adv, i, refresh: the names of each date that is worked on, and the date of its factors.
+    """t, date, symbol, adv, i, refresh, fitted: the names of each date that is worked on, the date of its factors, and
+    that of its betas.
 
-    Factors are renewed every pca_step sessions and whenever the list of names differs from the date before, so the
-    renewal dates are a window over dates, not a loop.
+    Factors are renewed every pca_step sessions, betas every beta_step, and both whenever the list of names differs
+    from the date before, so the renewal dates are a window over dates, not a loop.
     """
     start = max(p.pca_window, p.reg_window) + 1
     rows = rolling_eligibility(rets, p.pca_window, p.factor_min_adv).where("eligible").select("date", F.col("didx").alias("t"), "symbol", "adv")
@@ -105,15 +106,20 @@ def processed(rets: DataFrame, members: DataFrame | None, p: Params = DAILY) ->
         rows = rows.join(members.select("date", "symbol"), ["date", "symbol"], "left_semi")
     dates = rows.groupBy("t").agg(F.count("*").alias("n"), F.xxhash64(F.sort_array(F.collect_list("symbol"))).alias("names")).where(F.col("n") >= p.min_names)
     order = Window.orderBy("t")  # a row a session
-    changed = F.coalesce(F.lag("names").over(order) != F.col("names"), F.lit(True)) | ((F.col("t") - start) % p.pca_step == 0)
-    dates = dates.withColumn("refresh", F.last(F.when(changed, F.col("t")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(F.broadcast(dates.select("t", "refresh")), "t").withColumn("i", F.col("t") - start)
+    other = F.coalesce(F.lag("names").over(order) != F.col("names"), F.lit(True))
+    for name, step in (("refresh", p.pca_step), ("fitted", p.beta_step)):
+        renewed = F.when(other | ((F.col("t") - start) % step == 0), F.col("t"))
+        dates = dates.withColumn(name, F.last(renewed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(F.broadcast(dates.select("t", "refresh", "fitted")), "t").withColumn("i", F.col("t") - start)
 
 
-def _chunked(targets: DataFrame, rets: DataFrame, at: str, window: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """Targets by chunks of dates, and the return rows that their windows reach, each copied to few chunks."""
+def _chunked(targets: DataFrame, rets: DataFrame, at: str, window: int, size: int, ahead: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Targets by chunks of dates, and the return rows that their windows reach, each copied to few chunks.
+
+    ahead: sessions after `at` that are read too.
+    """
     own = targets.withColumn("chunk", F.floor(F.col(at) / size))
-    chunks = F.explode(F.sequence(F.floor(F.col("didx") / size), F.floor((F.col("didx") + window - 1) / size)))
+    chunks = F.explode(F.sequence(F.floor((F.col("didx") - ahead) / size), F.floor((F.col("didx") + window - 1) / size)))
     reach = rets.where("ret IS NOT NULL").select(F.col("symbol").alias("name"), F.col("didx").alias("day"), F.col("ret").alias("r"), chunks.alias("part"))
     return own, reach
 
@@ -158,19 +164,25 @@ def loadings(names: DataFrame, rets: DataFrame, p: Params = DAILY, n_factors: in
 
 
 def pca_scores(names: DataFrame, rets: DataFrame, q: DataFrame, p: Params = DAILY) -> DataFrame:
-    """t, symbol, q, beta (intercept first), s_score, kappa, m, sigma_eq, b, sigma_step, resid_sd, resid (array)."""
-    targets = names.select("t", "symbol", "refresh").join(q, ["refresh", "symbol"])
-    own, reach = _chunked(targets, rets, "t", p.reg_window, p.pca_window)
+    """t, symbol, q, beta (intercept first), s_score, kappa, m, sigma_eq, b, sigma_step, resid_sd, resid (array).
+
+    Between its fit dates a date's residuals are those of the last fit's betas on its own window.
+    """
+    targets = names.select("t", "symbol", "refresh", "fitted").join(q, ["refresh", "symbol"])
+    own, reach = _chunked(targets, rets, "fitted", p.reg_window, p.pca_window, p.beta_step - 1)
 
     def run(targets: pd.DataFrame, returns: pd.DataFrame) -> pd.DataFrame:
         wide, row, column = _windows(returns)
-        out = []
-        for t, group in targets.groupby("t"):
+        out, fits = [], {}
+        for t, group in targets.groupby("t"):  # in the order of dates: a fit before those that use it
             group = group.sort_values("symbol")
             r = wide[row[t] - p.reg_window + 1 : row[t] + 1][:, [column[s] for s in group.symbol]]
             weights = np.stack(group.q.to_numpy())
             design = np.column_stack([np.ones(len(r)), r @ weights])
-            beta = np.linalg.lstsq(design, r, rcond=None)[0]
+            fitted = int(group.fitted.iloc[0])
+            if fitted not in fits:
+                fits = {fitted: np.linalg.lstsq(design, r, rcond=None)[0]}
+            beta = fits[fitted]
             resid = r - design @ beta
             x = resid.cumsum(axis=0)
             x0, x1 = x[:-1] - x[:-1].mean(0), x[1:] - x[1:].mean(0)

@@ -86,7 +86,7 @@ def engle_granger(pairs: DataFrame, keys: list[str], order: str = "date") -> Dat
     lagged = F.col("v").isNotNull()
     prod = lambda x, y: F.sum(F.when(lagged, F.col(x) * F.col(y)))
     m = r.groupBy(*keys).agg(
-        F.first("beta").alias("beta"), F.first("alpha").alias("alpha"), F.count("*").alias("n_obs"), F.count_if(lagged).alias("m"), F.stddev_samp("s").alias("resid_std"),
+        F.first("beta").alias("beta"), F.first("alpha").alias("alpha"), F.count("*").alias("n_obs"), F.count_if(lagged).alias("m"), F.var_samp("s").alias("resid_var"),
         *(prod(x, y).alias(f"{x}{y}") for x, y in ("uu", "vv", "uv", "uy", "vy", "yy")), F.regr_slope("y", "u").alias("_slope"), F.count("y").alias("n_steps"),
     )
     c = F.col
@@ -97,6 +97,8 @@ def engle_granger(pairs: DataFrame, keys: list[str], order: str = "date") -> Dat
     t = gamma / F.sqrt(rss / (c("m") - 2) * c("vv") / det)
     phi = 1 + c("_slope")
     life = F.when((c("n_steps") >= 19) & (phi > 0) & (phi < 1), -math.log(2) / F.ln(phi))
+    spare = F.when(c("n_obs") > 2, c("n_obs") - 2)  # the fit takes two degrees of freedom
+    m = m.withColumn("resid_std", F.sqrt(c("resid_var") * (c("n_obs") - 1) / spare))
     out = m.withColumn("tstat", F.when((det > 0) & (rss > 0) & (c("m") > 2), t))
     return out.select(*keys, "beta", "alpha", "n_obs", F.when(c("tstat").isNull(), 0.0).otherwise(mackinnon_p(c("tstat"))).alias("pvalue"), "tstat", life.alias("half_life"), "resid_std")
 

@@ -10,7 +10,7 @@ from ..params import DAILY, Params
 
 def normalise_ticker(raw: Column) -> Column:
     """Trimmed, upper case, cut at a footnote bracket, dots as dashes, no spaces."""
-    return F.replace(F.translate(F.substring_index(F.upper(F.trim(raw)), "[", 1), ".", "-"), F.lit(" "), F.lit(""))
+    return F.replace(F.translate(F.substring_index(F.upper(F.regexp_replace(raw, r"^\s+|\s+$", "")), "[", 1), ".", "-"), F.lit(" "), F.lit(""))
 
 
 def valid_tickers(rows: DataFrame, column: str) -> DataFrame:

@@ -21,6 +21,7 @@ class Params:
     first_year: int = 2014
     last_year: int = 2026
     min_adv: float = 2e7
+    min_fold_names: int = 5
     entry: float = 2.0
     exit_: float = 0.5
     stop: float = 4.0
@@ -44,6 +45,7 @@ class Params:
     pca_window: int = 252
     pca_step: int = 5
     reg_window: int = 60
+    beta_step: int = 1
     min_names: int = 50
     factor_min_adv: float = 1e7
     half_life_days: float = 30.0

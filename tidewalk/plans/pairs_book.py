@@ -12,13 +12,14 @@ PAIR = pairs.PAIR
 
 
 def fold_members(prices: DataFrame, membership: DataFrame | None, windows: DataFrame, p: Params = DAILY) -> DataFrame:
-    """fold, symbol: members at the selection date that were liquid in sample."""
-    liquid = panel.liquid(prices, windows, p.min_adv).select("fold", "symbol")
-    if membership is None:
-        return liquid
-    picked = windows.select("fold", F.col("selection_date").alias("date"))
-    members = universe.members_as_of(picked, membership).join(F.broadcast(picked), "date").select("fold", "symbol")  # a row a fold
-    return liquid.join(members, ["fold", "symbol"], "left_semi")
+    """fold, symbol: members at the selection date that were liquid in sample; a fold of under five has none."""
+    names = panel.liquid(prices, windows, p.min_adv).select("fold", "symbol")
+    if membership is not None:
+        picked = windows.select("fold", F.col("selection_date").alias("date"))
+        members = universe.members_as_of(picked, membership).join(F.broadcast(picked), "date").select("fold", "symbol")  # a row a fold
+        names = names.join(members, ["fold", "symbol"], "left_semi")
+    enough = names.groupBy("fold").agg(F.count("*").alias("n")).where(F.col("n") >= p.min_fold_names)
+    return names.join(F.broadcast(enough.select("fold")), "fold")  # a row a fold
 
 
 def scan(prices: DataFrame, p: Params = DAILY, membership: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import factor, panel, pnl, positions
+from ..operators import factor, learn, panel, pnl, positions
 from ..params import DAILY, Params
 
 
@@ -92,3 +92,12 @@ def run(
     nexts = calendar.select((F.col("didx") - 1).alias("didx"), F.col("date").alias("earned")).join(calendar, "didx").select("date", "earned")
     out = book.join(counts, "date").join(factors, "date").join(F.broadcast(nexts), "date")
     return out.select(F.col("earned").alias("date"), "gross", "turnover", "net", "n_names", "n_pos", "n_factors", "gross_exposure")
+
+
+def learned(rets: DataFrame, predictions: DataFrame, p: Params = DAILY, *, span: int = 1, members: DataFrame | None = None, **rules) -> DataFrame:
+    """The book of a learned signal: predictions (date, symbol, pred) averaged over seeds, smoothed if span > 1, in place of the score."""
+    signal = learn.seed_average(predictions).withColumnRenamed("pred", "signal")
+    if span > 1:
+        days = signal.join(F.broadcast(rets.select("date", "didx").distinct()), "date")  # a row a session
+        signal = days.select("date", "symbol", learn.smoothed("signal", span).alias("signal"))
+    return run(rets, members, p, signal_table=signal.cache(), **rules)  # the networks run once, the book reads them often

@@ -14,6 +14,8 @@ from . import sql as Q
 from .pairs import rounded
 from .panels import weekly
 
+#: Groups that are drawn of all, the sample size of the studies.
+MOST = 1_200
 P = replace(WEEKLY, half_life_min=0.0, half_life_max=60.0)
 GROUPS = """sy AS (SELECT DISTINCT symbol FROM panel),
 gr AS (SELECT x.symbol || '/' || y.symbol || '/' || z.symbol AS label FROM sy x JOIN sy y ON x.symbol < y.symbol JOIN sy z ON y.symbol < z.symbol)"""
@@ -21,7 +23,7 @@ gr AS (SELECT x.symbol || '/' || y.symbol || '/' || z.symbol AS label FROM sy x
 
 def screened(spark, sf_dir):
     prices = panel.returns(weekly(spark, sf_dir)).withColumn("fold", F.lit(0))
-    return prices, baskets.screen(prices, baskets.groups(prices, 3, 40, 7), ["fold"], least=100)
+    return prices, baskets.screen(prices, baskets.groups(prices, 3, MOST, 7), ["fold"], least=100)
 
 
 @query("j1_trace_rank")
@@ -44,16 +46,16 @@ def j3(spark, sf_dir):
     return rounded(baskets.spread(prices, one, []), "s", digits=7)
 
 
-@query("j4_groups", Q.PANEL, GROUPS, "SELECT label, (SELECT count(*) FROM gr) AS n_total FROM gr ORDER BY md5(label || '/7'), label LIMIT 40")
+@query("j4_groups", Q.PANEL, GROUPS, "SELECT label, (SELECT count(*) FROM gr) AS n_total FROM gr ORDER BY md5(label || '/7'), label LIMIT 1200")
 def j4(spark, sf_dir):
-    return baskets.groups(weekly(spark, sf_dir), 3, 40, 7).select("label", "n_total")
+    return baskets.groups(weekly(spark, sf_dir), 3, MOST, 7).select("label", "n_total")
 
 
 @query("j5_null_rejection_rate")
 def j5(spark, sf_dir):
-    return baskets.null_rejections(spark, n_obs=200, n_sim=200)
+    return baskets.null_rejections(spark)
 
 
 @query("j6_basket_book")
 def j6(spark, sf_dir):
-    return rounded(basket_book.book(weekly(spark, sf_dir), P, most=40, seed=7), "net", "turnover")
+    return rounded(basket_book.book(weekly(spark, sf_dir), P, most=MOST, seed=7), "net", "turnover")

@@ -88,9 +88,9 @@ def f4(spark, sf_dir):
     return rounded(rounded(residuals(spark, sf_dir).where("didx = t").drop("didx"), "resid", "alpha", digits=7), "beta", digits=5)
 
 
-@query("f5_ou_scores", *SC, "SELECT symbol, t, round(s_score, 4) + 0.0 AS s_score, round(b, 5) + 0.0 AS b, round(sigma_step, 6) AS sigma_step, round(kappa, 3) AS kappa FROM sc WHERE b IS NULL OR b < 0.99")
+@query("f5_ou_scores", *SC, "SELECT symbol, t, round(s_score, 4) + 0.0 AS s_score, round(b, 5) + 0.0 AS b, round(sigma_step, 6) AS sigma_step, round(kappa, 3) AS kappa FROM sc")
 def f5(spark, sf_dir):
-    out = scores(spark, sf_dir).where("b IS NULL OR b < 0.99").select("symbol", "t", "s_score", "b", "sigma_step", "kappa")
+    out = scores(spark, sf_dir).select("symbol", "t", "s_score", "b", "sigma_step", "kappa")
     return rounded(rounded(rounded(rounded(out, "s_score", digits=4), "b", digits=5), "sigma_step"), "kappa", digits=3).withColumn("kappa", F.col("kappa"))
 
 

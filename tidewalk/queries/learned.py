@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import factor, learn
 from ..params import WEEKLY
+from ..plans import statarb
 from ..registry import query
 from . import sql as Q
 from .factors import COPIED, FITTED, RESID, SCORES, W, rets_of
@@ -34,9 +35,9 @@ def panel_of(spark, sf_dir):
     return learn.features(factor.ou_scores(resid), resid, rets, market, W, WEEKLY.periods_per_year, 60.0, 10)
 
 
-@query("l1_feature_panel", *ML, f"SELECT date, symbol, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in ALL)} FROM ml WHERE b < 0.9")
+@query("l1_feature_panel", *ML, f"SELECT date, symbol, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in ALL)} FROM ml")
 def l1(spark, sf_dir):
-    return rounded(panel_of(spark, sf_dir).where("b < 0.9").select("date", "symbol", *ALL), *ALL, digits=4)
+    return rounded(panel_of(spark, sf_dir).select("date", "symbol", *ALL), *ALL, digits=4)
 
 
 @query(
@@ -72,8 +73,8 @@ def l4(spark, sf_dir):
     return rounded(learn.standardised(split_of(spark, sf_dir), ["r5"]).select("test_year", "date", "symbol", "r5"), "r5", digits=4)
 
 
-def predictions(spark, sf_dir, seeds=2):
-    return learn.network(learn.standardised(split_of(spark, sf_dir), learn.FEATURES), learn.FEATURES, "y1", seeds, 5)
+def predictions(spark, sf_dir):
+    return learn.network(learn.standardised(split_of(spark, sf_dir), learn.FEATURES), learn.FEATURES, "y1")
 
 
 @query("l5_network")
@@ -86,9 +87,9 @@ def l5b(spark, sf_dir):
     return rounded(learn.ridge(learn.standardised(split_of(spark, sf_dir), learn.FEATURES), learn.FEATURES, "y1"), "pred", digits=4)
 
 
-@query("l6_seed_average", *ML, "SELECT date, symbol, round((r1 + r2 + r5) / 3, 5) + 0.0 AS pred FROM ml WHERE b < 0.9")
+@query("l6_seed_average", *ML, "SELECT date, symbol, round((r1 + r2 + r5) / 3, 5) + 0.0 AS pred FROM ml")
 def l6(spark, sf_dir):
-    rows = panel_of(spark, sf_dir).where("b < 0.9").select("date", "symbol", F.explode(F.array("r1", "r2", "r5")).alias("pred"))
+    rows = panel_of(spark, sf_dir).select("date", "symbol", F.explode(F.array("r1", "r2", "r5")).alias("pred"))
     return rounded(learn.seed_average(rows), "pred", digits=5)
 
 
@@ -108,3 +109,11 @@ def l7(spark, sf_dir):
 )
 def l8(spark, sf_dir):
     return rounded(rets_of(spark, sf_dir).select("symbol", "date", learn.smoothed("ret", 3).alias("smooth")), "smooth")
+
+
+@query("w6_learned_book")
+def w6(spark, sf_dir):
+    """Predictions of the networks, averaged over seeds and smoothed, traded by quantiles."""
+    rets = rets_of(spark, sf_dir)
+    book = statarb.learned(rets, predictions(spark, sf_dir), WEEKLY, span=3, rule="quantile", risk_scale=True)
+    return rounded(book.select("date", "gross", "turnover", "net", "n_pos"), "gross", "turnover", "net", digits=4)

@@ -45,13 +45,17 @@ def e1(spark, sf_dir):
     return rounded(E.hedge_ols(in_sample(spark, sf_dir), KEYS), "beta", "alpha")
 
 
+# a nearly flat covariance gives slopes of any size, so slopes are compared by their leading digits
 @query(
     "e2_hedge_tls", *BASE,
-    """SELECT fold, a, b, round(beta, 4) + 0.0 AS beta, round(ma - beta * mb, 3) + 0.0 AS alpha FROM (SELECT fold, a, b, avg(la) AS ma, avg(lb) AS mb,
-    (var_samp(la) - var_samp(lb) + sqrt(pow(var_samp(la) - var_samp(lb), 2) + 4 * pow(covar_samp(la, lb), 2))) / (2 * covar_samp(la, lb)) AS beta FROM pr GROUP BY fold, a, b) WHERE abs(beta) < 20""",
+    """SELECT fold, a, b, format('{:.4e}', beta) AS beta, round(atan(beta), 6) + 0.0 AS angle, round((ma - beta * mb) / sqrt(1 + beta * beta), 6) + 0.0 AS offset_
+    FROM (SELECT fold, a, b, avg(la) AS ma, avg(lb) AS mb,
+    (var_samp(la) - var_samp(lb) + sqrt(pow(var_samp(la) - var_samp(lb), 2) + 4 * pow(covar_samp(la, lb), 2))) / (2 * covar_samp(la, lb)) AS beta FROM pr GROUP BY fold, a, b)""",
 )
 def e2(spark, sf_dir):
-    return rounded(rounded(E.hedge_tls(in_sample(spark, sf_dir), KEYS).where("abs(beta) < 20"), "beta", digits=4), "alpha", digits=3)
+    fit = E.hedge_tls(in_sample(spark, sf_dir), KEYS)
+    out = fit.select(*KEYS, F.format_string("%.4e", "beta").alias("beta"), F.atan("beta").alias("angle"), (F.col("alpha") / F.sqrt(1 + F.col("beta") * F.col("beta"))).alias("offset_"))
+    return rounded(out, "angle", "offset_")
 
 
 SPREAD = "sp AS (SELECT fold, a, b, date, la - beta * lb - alpha AS s FROM pr JOIN (SELECT fold, a, b, regr_slope(la, lb) AS beta, regr_intercept(la, lb) AS alpha FROM pr GROUP BY ALL) USING (fold, a, b))"
@@ -178,13 +182,12 @@ def m5(spark, sf_dir):
     return multitest.discoveries(flagged(spark, sf_dir), ["fold"]).withColumn("by_chance", F.round("by_chance", 6))
 
 
-# ---- regimes, over the whole history of some pairs
-SOME = "('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')"
-ALL_PAIRS = f"""ap AS (SELECT x.symbol AS a, y.symbol AS b, x.date, ln(x.close) AS la, ln(y.close) AS lb, row_number() OVER (PARTITION BY x.symbol, y.symbol ORDER BY x.date) - 1 AS i
-  FROM panel x JOIN panel y ON x.date = y.date AND x.symbol < y.symbol WHERE x.symbol IN {SOME} AND y.symbol IN {SOME})"""
+# ---- regimes, over the whole history of all pairs
+ALL_PAIRS = """ap AS (SELECT x.symbol AS a, y.symbol AS b, x.date, ln(x.close) AS la, ln(y.close) AS lb, row_number() OVER (PARTITION BY x.symbol, y.symbol ORDER BY x.date) - 1 AS i
+  FROM panel x JOIN panel y ON x.date = y.date AND x.symbol < y.symbol)"""
 FIT = """fit AS (SELECT *, la - beta * lb - alpha AS s FROM ap JOIN (SELECT a, b, regr_slope(la, lb) AS beta, regr_intercept(la, lb) AS alpha FROM ap GROUP BY a, b) USING (a, b)),
 zz AS (SELECT *, (s - avg(s) OVER w) / stddev_samp(s) OVER w AS z FROM fit WINDOW w AS (PARTITION BY a, b))"""
-TRAIL = "tr AS (SELECT a, b, i, la, lb, s, pt FROM zz JOIN (SELECT unnest(range(52, 400, 8)) AS pt) ON i >= pt - 52 AND i < pt)"
+TRAIL = "tr AS (SELECT a, b, i, la, lb, s, pt FROM zz JOIN (SELECT unnest(range(52, (SELECT max(i) + 1 FROM zz), 8)) AS pt) ON i >= pt - 52 AND i < pt)"
 ROLL_P = (Q.engle_granger("rp", "tr", "a, b, pt", "i"), "pp AS (SELECT a, b, pt AS i, pvalue FROM rp WHERE n_obs >= 0.8 * 52)",
           "rollp AS (SELECT zz.a, zz.b, zz.i, last_value(pvalue IGNORE NULLS) OVER (PARTITION BY zz.a, zz.b ORDER BY zz.i) AS coint_p FROM zz LEFT JOIN pp USING (a, b, i))")
 ROLL_HL = """hs AS (SELECT a, b, pt, lag(s) OVER w AS x, s - lag(s) OVER w AS dx FROM tr WINDOW w AS (PARTITION BY a, b, pt ORDER BY i)),
@@ -198,9 +201,7 @@ HEAD = (Q.PANEL, ALL_PAIRS, FIT)
 
 
 def history(spark, sf_dir):
-    names = [s.strip("' ") for s in SOME.strip("()").split(",")]
-    rows = panel.returns(weekly(spark, sf_dir).where(F.col("symbol").isin(names)))
-    rows = E.with_fit(E.pair_rows(rows), ["a", "b"])
+    rows = E.with_fit(E.pair_rows(panel.returns(weekly(spark, sf_dir))), ["a", "b"])
     whole = Window.partitionBy("a", "b")
     rows = rows.withColumn("z", (F.col("s") - F.avg("s").over(whole)) / F.stddev_samp("s").over(whole))
     return regime.numbered(rows, ["a", "b"])

@@ -71,12 +71,21 @@ def s7(spark, sf_dir):
     return revision_as_of(panels.snapshot_dates(spark, "1995-07-01", "2001-07-01", 6), revisions)
 
 
-@query("s9_html_constituents", "SELECT CAST(s_nationkey AS BIGINT) AS page_id, s_name AS ticker, 'Company ' || s_suppkey AS name, 'Utilities & Co' AS sector, CAST(NULL AS VARCHAR) AS sub_industry FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 1)")
+@query(
+    "s9_html_constituents",
+    """SELECT CAST(s_nationkey AS BIGINT) AS page_id, replace(upper(t), '.', '-') AS ticker, 'Company ' || s_suppkey AS name, 'Utilities & Co' AS sector, '' AS sub_industry
+    FROM (SELECT *, CASE WHEN s_suppkey % 7 = 0 THEN 'toolong' WHEN s_suppkey % 5 = 0 THEN 'b.' || s_suppkey % 100 ELSE 's' || s_suppkey % 1000 END AS t FROM supplier)
+    WHERE length(t) BETWEEN 1 AND 6 AND s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 3)""",
+)
 def s9(spark, sf_dir):
-    cells = F.concat(F.lit("<tr><td><a href='#'>"), "s_name", F.lit("</a></td><td>Company\n "), "s_suppkey", F.lit("</td><td>Utilities &amp; Co</td></tr>"))
-    head = F.lit("<html><table><tr><th>other</th></tr></table><table class=x><tr><th>Ticker symbol</th><th>Security</th><th>GICS Sector</th></tr>")
+    """Pages of suppliers, and all of `pages`, which hold no constituents."""
+    key = F.col("s_suppkey").cast("long")
+    ticker = F.when(key % 7 == 0, "toolong").when(key % 5 == 0, F.concat(F.lit("b."), key % 100)).otherwise(F.concat(F.lit("s"), key % 1000))
+    cells = F.concat(F.lit("<tr><td><a href='#'> "), ticker, F.lit("[2]</a></td><td>Company\n "), key, F.lit("</td><td>Utilities &amp; Co</td></tr>"))
+    head = F.lit("<html><table><tr><th>other</th></tr></table><table class=x><tr><th>Ticker symbol</th><th>Security</th><th>GICS  Sector</th></tr>")
     rows = panels.load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("page_id")).agg(F.concat(head, F.array_join(F.collect_list(cells), ""), F.lit("</table>")).alias("html"))
-    return files.html_constituents(rows, least=1)
+    pages = panels.load(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html")
+    return files.html_constituents(rows.unionByName(pages), least=3)
 
 
 @query(
@@ -220,10 +229,10 @@ def c12(spark, sf_dir):
 
 @query(
     "c13_pivot_unpivot", Q.PANEL,
-    "SELECT year(date) AS year, symbol, round(avg(close), 4) AS mean_close FROM panel WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY ALL",
+    "SELECT year(date) AS year, symbol, round(avg(close), 4) AS mean_close FROM panel GROUP BY ALL",
 )
 def c13(spark, sf_dir):
-    names = ["Brand#11", "Brand#12", "Brand#13"]
+    names = [f"Brand#{i}" for i in range(1, 26)]  # all there are
     wide = weekly(spark, sf_dir).withColumn("year", F.year("date")).groupBy("year").pivot("symbol", names).agg(F.round(F.avg("close"), 4))
     return wide.unpivot("year", names, "symbol", "mean_close").where("mean_close IS NOT NULL")
 

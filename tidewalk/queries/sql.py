@@ -39,7 +39,7 @@ def engle_granger(name: str, rows: str, keys: str = "fold, a, b", order: str = "
     return f"""{name}_fit AS (SELECT {keys}, regr_slope(la, lb) AS beta, regr_intercept(la, lb) AS alpha, count(*) AS n_obs FROM {rows} GROUP BY ALL),
 {name}_res AS (SELECT {keys}, {order}, la - beta * lb - alpha AS s FROM {rows} JOIN {name}_fit USING ({keys})),
 {name}_lag AS (SELECT *, lag(s) OVER w AS u, s - lag(s) OVER w AS y, lag(s) OVER w - lag(s, 2) OVER w AS v FROM {name}_res WINDOW w AS (PARTITION BY {keys} ORDER BY {order})),
-{name}_sum AS (SELECT {keys}, count(v) AS m, count(y) AS n_steps, stddev_samp(s) AS resid_std, regr_slope(y, u) AS slope, sum(u * u) FILTER (WHERE v IS NOT NULL) AS uu,
+{name}_sum AS (SELECT {keys}, count(v) AS m, count(y) AS n_steps, CASE WHEN count(*) > 2 THEN sqrt(sum(s * s) / (count(*) - 2)) END AS resid_std, regr_slope(y, u) AS slope, sum(u * u) FILTER (WHERE v IS NOT NULL) AS uu,
   sum(v * v) AS vv, sum(u * v) AS uv, sum(u * y) FILTER (WHERE v IS NOT NULL) AS uy, sum(v * y) AS vy, sum(y * y) FILTER (WHERE v IS NOT NULL) AS yy FROM {name}_lag GROUP BY ALL),
 {name}_sol AS (SELECT *, (vv * uy - uv * vy) / (uu * vv - uv * uv) AS gamma, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS delta FROM {name}_sum),
 {name}_tst AS (SELECT *, gamma / sqrt((yy - gamma * uy - delta * vy) / (m - 2) * vv / (uu * vv - uv * uv)) AS tstat FROM {name}_sol),

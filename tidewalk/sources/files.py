@@ -11,10 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.universe import valid_tickers
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; in a local folder only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+    """A fresh path in the folder that the cluster shares; on a local master that names none, in the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/tidewalk-{name}-{uuid.uuid4().hex}"
 
 
@@ -90,37 +96,47 @@ def tables_of(html: str) -> list[list[list[str]]]:
     return parser.tables
 
 
-#: Headers that constituent lists have used.
+#: Headers that constituent lists have used; the first of them that a table has counts.
 ALIASES = {
-    "ticker": ("symbol", "ticker", "ticker symbol"),
+    "ticker": ("symbol", "ticker symbol", "ticker"),
     "name": ("security", "company", "name"),
-    "sector": ("gics sector", "sector"),
-    "sub_industry": ("gics sub-industry", "gics sub industry", "sub-industry", "sub industry"),
+    "sector": ("gics sector", "gics  sector", "sector"),
+    "sub_industry": ("gics sub-industry", "gics sub industry", "sub-industry"),
 }
 
 
 def constituents(html: str, least: int = 300) -> list[tuple]:
-    """(ticker, name, sector, sub_industry) rows of the first table with ticker and sector columns and enough rows."""
+    """(ticker, name, sector, sub_industry) of the first table with ticker and sector columns and over `least` data rows.
+
+    Raises LookupError if there is none; other columns that a table lacks are empty.
+    """
     for table in tables_of(html):
-        if len(table) <= least:
-            continue
-        header = [c.lower() for c in table[0]]
-        at = {k: next((header.index(a) for a in names if a in header), None) for k, names in ALIASES.items()}
-        if at["ticker"] is not None and at["sector"] is not None:
-            pick = lambda row, i: row[i] if i is not None and i < len(row) else None
-            return [tuple(pick(row, at[k]) for k in ALIASES) for row in table[1:]]
-    return []
+        header = [" ".join(c.lower().split()) for c in table[0]] if table else []
+        at = {k: next((header.index(a) for a in map(" ".join, map(str.split, names)) if a in header), None) for k, names in ALIASES.items()}
+        if len(table) - 1 > least and at["ticker"] is not None and at["sector"] is not None:
+            return [tuple(row[i] if i is not None and i < len(row) else "" for i in at.values()) for row in table[1:]]
+    raise LookupError("no table of constituents in this page")
+
 
+def html_constituents(pages: DataFrame, least: int = 300, strict: bool = False) -> DataFrame:
+    """page_id, ticker, name, sector, sub_industry of all pages' constituent tables, tickers normalised, of 1 to 6 characters.
 
-def html_constituents(pages: DataFrame, least: int = 300) -> DataFrame:
-    """page_id, ticker, name, sector, sub_industry of all pages' constituent tables."""
+    A page without such a table has no rows, or with `strict` fails the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *r) for i, html in zip(batch.page_id, batch.html, strict=True) for r in constituents(html, least)]
+            rows = []
+            for i, html in zip(batch.page_id, batch.html, strict=True):
+                try:
+                    rows += [(i, *r) for r in constituents(html, least)]
+                except LookupError:
+                    if strict:
+                        raise
             yield pd.DataFrame(rows, columns=["page_id", *ALIASES])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, ticker string, name string, sector string, sub_industry string")
+    raw = pages.select("page_id", "html").mapInPandas(run, "page_id long, ticker string, name string, sector string, sub_industry string")
+    return valid_tickers(raw, "ticker")
 
 
 def html_cells(pages: DataFrame) -> DataFrame:

@@ -66,13 +66,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def bucketed(df: DataFrame, name: str, files: int, column: str) -> DataFrame:
-    """Like `table`, with equal values of `column` in one of `files` buckets, so that grouping by it needs no shuffle."""
+def bucketed(df: DataFrame, name: str, files: int, column: str, order: str, number: str) -> DataFrame:
+    """Like `table`, with equal values of `column` in one of `files` buckets, so that grouping by it needs no shuffle.
+
+    Rows are written in the order of `column` and `order`, each with a `number` of its own that rises with them.
+    """
     spark = df.sparkSession
     label = f"tidewalk_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{label}"
+    dealt = df.repartition(files, column).sortWithinPartitions(column, order).withColumn(number, F.monotonically_increasing_id())
     with _shuffles_dropped(spark):
-        df.repartition(files, column).write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(label)
+        dealt.write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(label)
     atexit.register(_forget, spark, path)
     return spark.table(label)
 

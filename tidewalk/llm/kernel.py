@@ -89,18 +89,19 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
 
-    def _codes(self, salt: int) -> np.ndarray:
-        size = self.end - self.start
+    def _codes(self, salt: int, words: slice | np.ndarray = slice(None)) -> np.ndarray:
+        start, end = self.start[words], self.end[words]
+        size = end - start
         long = np.flatnonzero(size > LONG)
-        code = _hashed(self._eights, self.start, np.minimum(size, LONG), salt)
+        code = _hashed(self._eights, start, np.minimum(size, LONG), salt)
         for i in long.tolist():
-            digest = hashlib.blake2b(self._folded[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+            digest = hashlib.blake2b(self._folded[start[i] : end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
             code[i] = int.from_bytes(digest.digest(), "little")
         return code
 
-    def checks(self) -> np.ndarray:
+    def checks(self, words: slice | np.ndarray = slice(None)) -> np.ndarray:
         """A second code of each word, independent of the first."""
-        return self._codes(41)
+        return self._codes(41, words)
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the first `size` (at most 8) bytes of the words that are longer, and those words' indexes."""

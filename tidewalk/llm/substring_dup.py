@@ -27,7 +27,7 @@ class Bucket:
     def __init__(self, docs: pa.Table, bits: int) -> None:
         """bits: those of a fingerprint that are kept."""
         self.words: list[Words] = []
-        ids, marked, prints, texts, places, runs, n = [], [], [], [], [], [], 0
+        ids, numbers, prints, texts, places, runs, n = [], [], [], [], [], [], 0
         for batch in docs.to_batches():
             own = batch.column("doc_id")
             for rows, data, at in pieces(batch):
@@ -40,12 +40,12 @@ class Bucket:
                 texts.append(text[keep] + n)
                 places.append((begin - words.first[text])[keep])
                 runs.append(np.stack([np.full(keep.sum(), len(self.words)), begin[keep]], 1))
-                marked += marks(words)
                 self.words.append(words)
                 n += len(words.count)
             ids.append(own.fill_null(0).to_numpy())
+            numbers.append(batch.column("row").to_numpy())
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.ids, self.marks = join(ids, np.int64), np.array(marked, U)
+        self.ids, self.rows = join(ids, np.int64), join(numbers, np.int64)
         self.prints, self.text, self.place = join(prints, U), join(texts, np.int64), join(places, np.int64)
         self.run = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
 
@@ -67,7 +67,7 @@ class Bucket:
                 continue
             index = self.run[at[own], 1][:, None] + np.arange(WINDOW)
             used = np.unique(index)
-            code, check, raw = words.code[used], words.checks()[used], words.data.tobytes()
+            code, check, raw = words.code[used], words.checks(used), words.data.tobytes()
             _, first, back = np.unique(code, return_index=True, return_inverse=True)
             if (check[first][back] != check).any():  # words that share a code: all are taken one by one
                 first, back = np.arange(len(used)), np.arange(len(used))
@@ -77,15 +77,6 @@ class Bucket:
         return out, list(number)
 
 
-def marks(words: Words) -> list[int]:
-    """64 bits that tell apart texts that share an id."""
-    total = np.concatenate([np.zeros(1, U), np.cumsum(words.code * (np.arange(len(words.code), dtype=U) + U(1)), dtype=U)])
-    base = np.concatenate([np.zeros(1, U), np.cumsum(words.code, dtype=U)])
-    first = words.first
-    sums = total[first[1:]] - total[first[:-1]] - (base[first[1:]] - base[first[:-1]]) * first[:-1].astype(U)
-    return mix(sums).tolist()
-
-
 def _leaves(ranges: int, bits: int) -> Callable:
     """A bucket's different fingerprints, for the range that each falls into."""
 
@@ -120,10 +111,14 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int64()), "n": pa.array([len(x) for _, x in parts], pa.int64()), "blob": binary([pack(x, rising=(0,)) for _, x in parts])})
 
 
-def _hits(ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray) -> bytes:
-    """Places of texts: the texts' ids and marks, then each place's text and word."""
-    docs, own = np.unique(text, return_inverse=True)
-    return pack(ids[docs].view(U), mark[docs], own.astype(np.uint32), at.astype(np.uint32))
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 65_536 else np.uint32)
+
+
+def _hits(rows: np.ndarray, at: np.ndarray) -> bytes:
+    """Places of texts: the texts' rows, then each place's text and word."""
+    texts, own = np.unique(rows, return_inverse=True)
+    return pack(texts.view(U), _small(own), _small(at), rising=(0,))
 
 
 def paths(codes: np.ndarray) -> np.ndarray:
@@ -151,21 +146,21 @@ def dealt_cells(width: int, path: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return cell
 
 
-def _blobs(cell: np.ndarray, path: np.ndarray, ids: np.ndarray, mark: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def _blobs(cell: np.ndarray, path: np.ndarray, ids: np.ndarray, rows: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """By cell the suffixes, with the words they are made of."""
     by = np.lexsort((path, cell))  # neighbours begin alike, which packs better
     for own in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
         if len(own):
             used, symbol = np.unique(passages[own], return_inverse=True)
-            symbol = symbol.reshape(len(own), WINDOW).astype(np.uint16 if len(used) <= 65_536 else np.uint32)
-            docs, mine = np.unique(text[own], return_inverse=True)
+            texts, mine = np.unique(text[own], return_inverse=True)
             raw = np.frombuffer(b" ".join(words[i] for i in used.tolist()), np.uint8)
-            yield int(cell[own[0]]), pack(ids[docs].view(U), mark[docs], mine.astype(np.uint32), at[own].astype(np.uint32), raw, *np.ascontiguousarray(symbol.T))
+            symbol = _small(symbol.reshape(len(own), WINDOW))
+            yield int(cell[own[0]]), pack(ids[texts].view(U), rows[texts].view(U), _small(mine), _small(at[own]), raw, *np.ascontiguousarray(symbol.T), rising=(0, 1))
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    ids, mark, mine, at, raw, *symbol = unpack(blob)
-    return ids.view(np.int64), mark, mine.astype(np.int64), at.astype(np.int64), raw.tobytes().split(b" "), np.stack(symbol, 1).astype(np.int32)
+    ids, rows, mine, at, raw, *symbol = unpack(blob, rising=(0, 1))
+    return ids.view(np.int64), rows.view(np.int64), mine.astype(np.int64), at.astype(np.int64), raw.tobytes().split(b" "), np.stack(symbol, 1).astype(np.int32)
 
 
 def _abroad(bucket: Bucket, shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +219,9 @@ def _suffixes(width: int, bits: int, heavy: np.ndarray) -> Callable:
             least = np.repeat(np.minimum.reduceat(owner, heads), np.diff([*heads, len(at)]))
             known, left = at[owner > least], np.flatnonzero((owner == least) & far)
             if len(known):
-                out.append((-1 - number, _hits(bucket.ids, bucket.marks, bucket.text[known], bucket.place[known])))
+                out.append((-1 - number, _hits(bucket.rows[bucket.text[known]], bucket.place[known])))
             path = bucket.paths(at[left])
-            out += _blobs(dealt_cells(width, path, heavy), path, bucket.ids, bucket.marks, bucket.text[at[left]], bucket.place[at[left]], passages[left], words)
+            out += _blobs(dealt_cells(width, path, heavy), path, bucket.ids, bucket.rows, bucket.text[at[left]], bucket.place[at[left]], passages[left], words)
         return pa.table({"cell": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([number] * len(out), pa.int64()), "blob": binary([x[1] for x in out])})
 
     return run
@@ -258,8 +253,8 @@ class _Held:
         self.n = 0
 
     def add(self, bucket: int, blob: bytes) -> None:
-        ids, mark, mine, at, words, passages = _opened(blob)
-        self.parts.append((np.full(len(mine), bucket), ids[mine], mark[mine], at, words, passages))
+        ids, rows, mine, at, words, passages = _opened(blob)
+        self.parts.append((np.full(len(mine), bucket), ids[mine], rows[mine], at, words, passages))
         self.n += len(mine)
 
     def repeats(self) -> Iterator[tuple[int, bytes]]:
@@ -270,7 +265,7 @@ class _Held:
             passages.append(number[base + p[5]])
             base += len(p[4])
         passages = np.concatenate(passages)
-        bucket, ids, mark, at = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        bucket, ids, rows, at = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
         tree = Tree(passages)
         begin, end = tree.nodes(WINDOW)
         leaf = np.repeat(begin - np.cumsum(end - begin) + end - begin, end - begin) + np.arange((end - begin).sum())
@@ -281,12 +276,11 @@ class _Held:
         stay = np.ones(len(ids), bool)
         stay[hit] = False
         dictionary = words.dictionary.to_pylist()
-        self.parts, self.n = [(bucket[stay], ids[stay], mark[stay], at[stay], dictionary, passages[stay])], int(stay.sum())
+        self.parts, self.n = [(bucket[stay], ids[stay], rows[stay], at[stay], dictionary, passages[stay])], int(stay.sum())
         hit = hit[np.argsort(bucket[hit], kind="stable")]
         for own in np.split(hit, np.flatnonzero(np.diff(bucket[hit])) + 1):
             if len(own):
-                text = np.unique(np.stack([ids[own].view(U), mark[own]]), axis=1, return_inverse=True)
-                yield int(bucket[own[0]]), _hits(text[0][0].view(np.int64), text[0][1], text[1].ravel(), at[own])
+                yield int(bucket[own[0]]), _hits(rows[own], at[own])
 
 
 def _trees(most: int) -> Callable:
@@ -316,22 +310,22 @@ def _trees(most: int) -> Callable:
 
 
 def _rewritten(docs: pa.Table, found: pa.Table) -> pa.Table:
-    starts: dict[tuple[int, int], list[np.ndarray]] = {}
+    starts: dict[int, list[np.ndarray]] = {}
     for blob in found.column("blob").to_pylist():
-        ids, mark, own, at = unpack(blob)
+        rows, own, at = unpack(blob, rising=(0,))
         by = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[by], np.arange(len(ids) + 1))
-        for i, key in enumerate(zip(ids.view(np.int64).tolist(), mark.tolist(), strict=True)):
-            starts.setdefault(key, []).append(at[by[cuts[i] : cuts[i + 1]]].astype(np.int64))
+        cuts = np.searchsorted(own[by], np.arange(len(rows) + 1))
+        for i, row in enumerate(rows.tolist()):
+            starts.setdefault(row, []).append(at[by[cuts[i] : cuts[i + 1]]].astype(np.int64))
     n_words, n_removed, sha, kept_text = [], [], [], []
     for batch in docs.to_batches():
-        ids = batch.column("doc_id").to_pylist()
+        numbers = batch.column("row").to_pylist()
         for rows, data, at in pieces(batch):
             words = Words(data, at, EXACT)
-            for i, (doc, mark) in enumerate(zip(ids[rows], marks(words), strict=True)):
+            for i, row in enumerate(numbers[rows]):
                 lo, n = words.first[i], int(words.count[i])
                 cover = np.zeros(n + 1, np.int64)
-                for x in starts.get((doc, mark), ()):
+                for x in starts.get(row, ()):
                     np.add.at(cover, x, 1)
                     np.subtract.at(cover, x + WINDOW, 1)
                 gone = np.cumsum(cover)[:n] > 0
@@ -380,7 +374,8 @@ def without_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n_buckets = 1 + max(size.bytes // BYTES, size.n // DOCS)
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)))
-    dealt = bucketed(dealt, "texts", min(100_000, 1 + n_buckets // TOGETHER), "bucket")
+    # in the order of ids, and numbered as written: a text is known by its row
+    dealt = bucketed(dealt, "texts", min(100_000, 1 + n_buckets // TOGETHER), "bucket", "doc_id", "row")
 
     # so many bits that a window meets another by chance in one of 64 cases at most
     bits = min(64, (size.bytes // 2).bit_length() + 6)

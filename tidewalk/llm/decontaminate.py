@@ -67,6 +67,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1)), pa.array(np.append(seen[terms], passages))], ["term", "n"])
 
 
+def _sums(table: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the table's `rows` over runs that begin at `heads`, in steps that stay in the processor's cache."""
+    out = np.empty((len(heads), table.shape[1]), table.dtype)
+    cuts = np.append(heads, len(rows))
+    begin = 0
+    while begin < len(heads):
+        end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + 2048, "right")) - 1)
+        out[begin:end] = np.add.reduceat(table[rows[cuts[begin] : cuts[end]]], heads[begin:end] - cuts[begin])
+        begin = end
+    return out
+
+
 def _passage_vectors(words: Words, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Block sums of the rows of `basis` (weights included), each block's first word and text, and its squared weight."""
     begin, text = _blocks(words)
@@ -78,7 +90,7 @@ def _passage_vectors(words: Words, weights: np.ndarray, basis: np.ndarray) -> tu
     norm = np.zeros(len(begin))
     full = np.flatnonzero(cut[:-1] < cut[1:])
     if len(full):
-        sums[full] = np.add.reduceat(basis[terms[some]], cut[:-1][full])
+        sums[full] = _sums(basis, terms[some], cut[:-1][full])
         norm[full] = np.add.reduceat(weight[some].astype(float) ** 2, cut[:-1][full])
     return sums, begin, text, norm
 
@@ -100,7 +112,7 @@ def _range_finder(weights: np.ndarray, test: np.ndarray) -> Callable:
                 own = terms[some][by]
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
                 if len(heads):
-                    total[own[heads]] += np.add.reduceat(sums[block[by]], heads) * weights[own[heads], None]
+                    total[own[heads]] += _sums(sums, block[by], heads) * weights[own[heads], None]
         if total.any():
             slabs = np.arange(TERMS // SLAB)
             salt = zlib.crc32(total[:SLAB].tobytes()) % FAN  # from the data, so a task that runs again sends the same rows

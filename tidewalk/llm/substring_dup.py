@@ -17,8 +17,8 @@ from .packed import pack, unpack
 WINDOW = 13
 #: Suffixes of a tree, fingerprints that one task compares, bytes and documents of a bucket, buckets of a task.
 GROUP, RANGE, BYTES, DOCS, TOGETHER = 600_000, 2_000_000, 4_000_000, 4_000, 4
-#: Bits of a word in a prefix, words in the longest one.
-BITS, LONGEST = 6, 10
+#: Bits of a word in a prefix, words in the longest one, bits that a prefix is lengthened by.
+BITS, LONGEST, MORE = 6, 10, 2
 
 
 class Bucket:
@@ -58,7 +58,7 @@ class Bucket:
         return out
 
     def passages(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """The words of windows, as numbers (windows x WINDOW), and what the numbers mean."""
+        """The words of windows, as numbers (windows x WINDOW), and what the numbers mean, in the order of bytes."""
         number: dict[bytes, int] = {}
         out = np.empty((len(at), WINDOW), np.int32)
         for k, words in enumerate(self.words):
@@ -74,7 +74,10 @@ class Bucket:
             met = [raw[a:b] for a, b in zip(words.start[used[first]].tolist(), words.end[used[first]].tolist(), strict=True)]
             mine = np.array([number.setdefault(w, len(number)) for w in met], np.int32)[back]
             out[own] = mine[np.searchsorted(used, index)]
-        return out, list(number)
+        words = sorted(number)
+        rank = np.empty(len(words), np.int32)
+        rank[[number[w] for w in words]] = np.arange(len(words))
+        return rank[out] if len(words) else out, words
 
 
 def _leaves(ranges: int, bits: int) -> Callable:
@@ -135,10 +138,10 @@ def cells(width: int, path: np.ndarray) -> np.ndarray:
 
 
 def dealt_cells(width: int, path: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Each path's shortest prefix, of `width` bits or whole words more, that isn't heavy (or else its longest)."""
+    """Each path's shortest prefix, of `width` bits or MORE and MORE, that isn't heavy (or else its longest)."""
     cell = cells(width, path)
     while len(heavy) and width < BITS * LONGEST:
-        width = min(BITS * LONGEST, width + BITS)
+        width = min(BITS * LONGEST, width + MORE)
         more = np.isin(cell, heavy)
         if not more.any():
             break
@@ -188,7 +191,7 @@ def _counted(width: int, bits: int, least: int) -> Callable:
             path = path[many[back] >= least]
             if at_width == BITS * LONGEST:
                 break
-            at_width = min(BITS * LONGEST, at_width + BITS)
+            at_width = min(BITS * LONGEST, at_width + MORE)
         cell, many = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(many, pa.int64())})
 
@@ -358,7 +361,7 @@ def without_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     A word goes if some run of 13 words over it also starts in a document of smaller doc_id. Documents are dealt to
     buckets of a few MB. Leaves that no deep inner node can have are left out first: suffixes whose first 13 words'
     fingerprint neither two buckets nor two places of their own bucket share. The others are dealt out, with their
-    words, by a prefix whose length in bits follows from their number, and that is lengthened, word by word, wherever
+    words, by a prefix whose length in bits follows from their number, and that is lengthened, bits at a time, wherever
     more than `most` suffixes share it. Each group's suffix array and longest common prefixes give its tree; the
     suffixes under an inner node of 13 words, but for those of its smallest document, are repeats, by their words and
     not by fingerprints. Trees end at 13 words: beyond, overlapping runs join to the maximal repeats that are cut out.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,14 +24,21 @@ LEVEL = 9
 MARGIN = 0.02
 
 
-#: Characters that Python's patterns take as word characters though they are no letters: ½, ², Ⅷ.
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Characters under 0x10000 that Python's patterns take as word characters though they are no letters: ½, ², Ⅷ. A set of
+#: their own, which is searched by a bitmap; the few texts with characters beyond are taken character by character.
+_NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(128, 0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def letters(text: str) -> str:
     """The text in lower case, every run of other characters than letters as one space."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii():
+        text = _NUMBERS.sub(" ", text)
+        if _BEYOND.search(text):
+            text = "".join(c if c.isalpha() else " " for c in text)
+    return _OTHER.sub(" ", text).strip()
 
 
 def dictionaries(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:

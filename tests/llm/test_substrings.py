@@ -2,9 +2,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidewalk.llm.substring_dup import Tree, without_repeats
+from tidewalk.llm.kernel import U, Words
+from tidewalk.llm.packed import unpack
+from tidewalk.llm.substring_dup import Tree, _suffixes, without_repeats
 
 from .common_rows import SCHEMA, documents, twins, words
 
@@ -43,6 +46,21 @@ def test_equals_brute_force(spark, monkeypatch, most):
     assert sorted(map(tuple, out), key=repr) == brute_force(rows)
 
 
+@pytest.mark.parametrize("kept", [64, 2])
+def test_repeats_of_a_bucket_whatever_shares_their_fingerprint(monkeypatch, kept):
+    """Fingerprints of 4 bits between buckets; those of 2 bits stand for passages that share even a whole one."""
+    whole = Words.windows
+    monkeypatch.setattr(Words, "windows", lambda *a: (lambda prints, at: ((prints >> U(64 - kept)) << U(64 - kept), at))(*whole(*a)))
+    rows = [(i, " ".join(words(i % 40, 20))) for i in range(120)]
+    docs = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "row": pa.array(range(120), pa.int64())})
+    none = pa.table({"bucket": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+    found = _suffixes(1, 4, np.zeros(0, np.int64))((pa.scalar(0),), docs, none).column("blob").to_pylist()
+    got = set()
+    for texts, own, at in (unpack(blob, rising=(0,)) for blob in found):
+        got |= set(zip(texts[own].tolist(), at.tolist(), strict=True))
+    assert got == {(i, k) for i in range(40, 120) for k in range(8)}
+
+
 def test_nodes_are_the_equal_beginnings():
     rng = np.random.default_rng(6)
     passages = rng.integers(0, 3, (400, 13)).astype(np.int32)

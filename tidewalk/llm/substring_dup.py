@@ -25,7 +25,8 @@ class Bucket:
     """The texts of a bucket: their words, and each window's fingerprint, text and place."""
 
     def __init__(self, docs: pa.Table, bits: int) -> None:
-        """bits: those of a fingerprint that are kept."""
+        """bits: those of a fingerprint that buckets tell one another; inside a bucket all are compared."""
+        self.short = U(64 - bits)
         self.words: list[Words] = []
         ids, numbers, prints, texts, places, runs, n = [], [], [], [], [], [], 0
         for batch in docs.to_batches():
@@ -36,7 +37,7 @@ class Bucket:
                 text = np.searchsorted(words.first, begin, "right") - 1
                 known = own.slice(rows.start, rows.stop - rows.start).is_valid().to_numpy(zero_copy_only=False)
                 keep = known[text]  # null ids neither cause nor suffer removals
-                prints.append(fingerprints[keep] >> U(64 - bits))
+                prints.append(fingerprints[keep])
                 texts.append(text[keep] + n)
                 places.append((begin - words.first[text])[keep])
                 runs.append(np.stack([np.full(keep.sum(), len(self.words)), begin[keep]], 1))
@@ -84,7 +85,8 @@ def _leaves(ranges: int, bits: int) -> Callable:
     """A bucket's different fingerprints, for the range that each falls into."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        prints = np.unique(Bucket(docs, bits).prints)
+        bucket = Bucket(docs, bits)
+        prints = np.unique(bucket.prints >> bucket.short)
         cuts = np.searchsorted(prints, (np.arange(1, ranges, dtype=object) * (1 << bits) // ranges).astype(U))
         keys, blobs = [], []
         for i, own in enumerate(np.split(prints, cuts)):
@@ -171,7 +173,7 @@ def _abroad(bucket: Bucket, shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     prints = [unpack(blob, rising=(0,))[0] for blob in shared.column("blob").to_pylist()]
     prints = np.sort(np.concatenate(prints)) if prints else np.zeros(0, U)
     by = np.argsort(bucket.prints, kind="stable")
-    own = bucket.prints[by]
+    own = bucket.prints[by] >> bucket.short
     place = np.minimum(np.searchsorted(prints, own), max(0, len(prints) - 1))
     return by, prints[place] == own if len(prints) else np.zeros(len(own), bool)
 
@@ -216,9 +218,14 @@ def _suffixes(width: int, bits: int, heavy: np.ndarray) -> Callable:
         out: list[tuple[int, bytes]] = []
         if len(at):
             passages, words = bucket.passages(at)
-            owner = bucket.ids[bucket.text[at]]
             # equal fingerprints are only taken as one passage where the words are equal
-            heads = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (passages[1:] != passages[:-1]).any(1)]))
+            fresh, other = prints[1:] != prints[:-1], (passages[1:] != passages[:-1]).any(1)
+            if (other & ~fresh).any():  # passages that share a fingerprint may alternate: equal ones are put together
+                by = np.lexsort((*passages.T[::-1], prints))
+                at, prints, far, passages = at[by], prints[by], far[by], passages[by]
+                fresh, other = prints[1:] != prints[:-1], (passages[1:] != passages[:-1]).any(1)
+            owner = bucket.ids[bucket.text[at]]
+            heads = np.flatnonzero(np.concatenate([[True], fresh | other]))
             least = np.repeat(np.minimum.reduceat(owner, heads), np.diff([*heads, len(at)]))
             known, left = at[owner > least], np.flatnonzero((owner == least) & far)
             if len(known):

@@ -24,8 +24,8 @@ SHARED, ANSWER = 0.6, 0.5
 RARE = 12
 #: Benchmark items that are searched for in one pass over the documents; more take more passes.
 ITEMS = 1_000
-#: Rows of the term matrix that are added up together; partial sums that one task adds.
-SLAB, FAN = 1024, 64
+#: Rows of the term matrix that are added up together; partial sums that one task adds; passages that give a partial sum.
+SLAB, FAN, SHARE = 1024, 64, 200_000
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
@@ -95,8 +95,8 @@ def _passage_vectors(words: Words, weights: np.ndarray, basis: np.ndarray) -> tu
     return sums, begin, text, norm
 
 
-def _range_finder(weights: np.ndarray, test: np.ndarray) -> Callable:
-    """One task's share of A' A test for the TF-IDF matrix A of its passages, in slabs of terms."""
+def _range_finder(weights: np.ndarray, test: np.ndarray, fans: int) -> Callable:
+    """One task's share of A' A test for the TF-IDF matrix A of its passages, in slabs of terms; tasks are dealt to `fans`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weighted = np.zeros((TERMS, SKETCH), np.float32), test * weights[:, None]
@@ -115,7 +115,7 @@ def _range_finder(weights: np.ndarray, test: np.ndarray) -> Callable:
                     total[own[heads]] += _sums(sums, block[by], heads) * weights[own[heads], None]
         if total.any():
             slabs = np.arange(TERMS // SLAB)
-            salt = zlib.crc32(total[:SLAB].tobytes()) % FAN  # from the data, so a task that runs again sends the same rows
+            salt = zlib.crc32(total[:SLAB].tobytes()) % fans  # from the data, so a task that runs again sends the same rows
             yield pa.RecordBatch.from_arrays([pa.array(slabs), pa.array(np.full(len(slabs), salt)), binary([total[s * SLAB : (s + 1) * SLAB].tobytes() for s in slabs])], ["slab", "salt", "part"])
 
     return run
@@ -151,7 +151,9 @@ def latent_space(docs: DataFrame) -> Space:
         if r.term >= 0:  # the commonest term still weighs log(2), so no item is without weight
             weights[r.term] = np.log(1 + n / r.n)
     test = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (TERMS, SKETCH))
-    parts = docs.select("text").mapInArrow(_range_finder(weights, test), kinds)
+    # a task sends a matrix of one size, however few its rows, so tasks are as many as passages or cores ask for
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // SHARE))
+    parts = docs.select("text").coalesce(tasks).mapInArrow(_range_finder(weights, test, -(-tasks // FAN)), kinds)
     parts = parts.groupBy("slab", "salt").applyInArrow(_added, kinds).groupBy("slab").applyInArrow(_added, kinds)
     image = np.zeros((TERMS, SKETCH))
     for r in parts.collect():  # TERMS / SLAB rows

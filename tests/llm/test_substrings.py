@@ -7,7 +7,7 @@ import pytest
 
 from tidewalk.llm.kernel import U, Words
 from tidewalk.llm.packed import unpack
-from tidewalk.llm.substring_dup import Tree, _suffixes, without_repeats
+from tidewalk.llm.substring_dup import Tree, _suffixes, byte_runs, distinct, in_order, ranked, used_of, without_repeats
 
 from .common_rows import SCHEMA, documents, twins, words
 
@@ -76,5 +76,33 @@ def test_nodes_are_the_equal_beginnings():
         assert sorted((tuple(rows[b][:depth]), e - b) for b, e in zip(begin, end, strict=True)) == sorted((k, n) for k, n in want.items() if n > 1)
 
 
+@pytest.mark.parametrize("most", [2, 60, 70_000, 2**31 - 1])
+def test_order_of_passages_by_several_words_at_once(most):
+    rng = np.random.default_rng(8)
+    passages = rng.integers(0, most, (500, 13)).astype(np.int32)
+    passages[100:300, : rng.integers(1, 13)] = passages[0, :1]
+    passages[300:, :11] = passages[rng.integers(0, 5, 200), :11]
+    assert passages[in_order(passages)].tolist() == sorted(passages.tolist())
+    assert len(in_order(passages[:0])) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_numbers_told_apart_by_sorting(n):
+    x = np.random.default_rng(9).integers(0, 50, n)
+    want, back = np.unique(x, return_inverse=True)
+    assert distinct(x).tolist() == want.tolist()
+    first, rank = ranked(x)
+    assert x[first].tolist() == want.tolist() and rank.tolist() == back.tolist()
+    for under in (50, 10_000):  # by a table, and by sorting
+        used, rank = used_of(x, under)
+        assert used.tolist() == want.tolist() and rank.tolist() == back.tolist()
+
+
+def test_byte_runs():
+    raw = "ä bc  d".encode()
+    assert byte_runs(np.frombuffer(raw, np.uint8), np.array([0, 3, 7]), np.array([2, 5, 8])).to_pylist() == [b"\xc3\xa4", b"bc", b"d"]
+    assert len(byte_runs(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 def test_empty(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,38 @@ GROUP, RANGE, BYTES, DOCS, TOGETHER = 600_000, 2_000_000, 4_000_000, 4_000, 4
 BITS, LONGEST, MORE = 6, 10, 2
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order; numpy's own goes through a hash table, which takes far longer than a sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different number stands, in the numbers' order, and the rank of each."""
+    by = np.argsort(x)
+    head = np.concatenate([[True], x[by[1:]] != x[by[:-1]]])[: len(x)]
+    rank = np.empty(len(x), np.int64)
+    rank[by] = np.cumsum(head) - 1
+    return by[head], rank
+
+
+def used_of(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of x, which are under n, and each one's rank."""
+    if 4 * x.size < n:
+        first, rank = ranked(x.ravel())
+        return x.ravel()[first], rank.reshape(x.shape)
+    met = np.zeros(n, bool)
+    met[x] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[x]
+
+
+def byte_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end."""
+    at = np.concatenate([[0], np.cumsum(end - start)])
+    own = data[np.arange(at[-1]) + np.repeat(start - at[:-1], end - start)]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(own)])
+
+
 class Bucket:
     """The texts of a bucket: their words, and each window's fingerprint, text and place."""
 
@@ -58,27 +91,32 @@ class Bucket:
             out[own] = paths(words.code[self.run[at[own], 1][:, None] + np.arange(LONGEST)])
         return out
 
-    def passages(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    def passages(self, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """The words of windows, as numbers (windows x WINDOW), and what the numbers mean, in the order of bytes."""
-        number: dict[bytes, int] = {}
+        listed, n = [byte_runs(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         out = np.empty((len(at), WINDOW), np.int32)
         for k, words in enumerate(self.words):
             own = np.flatnonzero(self.run[at, 0] == k)
             if not len(own):
                 continue
-            index = self.run[at[own], 1][:, None] + np.arange(WINDOW)
-            used = np.unique(index)
-            code, check, raw = words.code[used], words.checks(used), words.data.tobytes()
-            _, first, back = np.unique(code, return_index=True, return_inverse=True)
+            begin, met = self.run[at[own], 1], np.zeros(len(words.code), bool)
+            for j in range(WINDOW):
+                met[begin + j] = True
+            used = np.flatnonzero(met)
+            code, check = words.code[used], words.checks(used)
+            first, back = ranked(code)
             if (check[first][back] != check).any():  # words that share a code: all are taken one by one
                 first, back = np.arange(len(used)), np.arange(len(used))
-            met = [raw[a:b] for a, b in zip(words.start[used[first]].tolist(), words.end[used[first]].tolist(), strict=True)]
-            mine = np.array([number.setdefault(w, len(number)) for w in met], np.int32)[back]
-            out[own] = mine[np.searchsorted(used, index)]
-        words = sorted(number)
-        rank = np.empty(len(words), np.int32)
-        rank[[number[w] for w in words]] = np.arange(len(words))
-        return rank[out] if len(words) else out, words
+            listed.append(byte_runs(words.data, words.start[used[first]], words.end[used[first]]))
+            mine = np.empty(len(words.code), np.int32)
+            mine[used] = n + back
+            out[own] = mine[begin[:, None] + np.arange(WINDOW)]
+            n += len(first)
+        found = pa.concat_arrays(listed).dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order))
+        return rank[found.indices.to_numpy()][out], found.dictionary.take(order)
 
 
 def _leaves(ranges: int, bits: int) -> Callable:
@@ -86,7 +124,7 @@ def _leaves(ranges: int, bits: int) -> Callable:
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         bucket = Bucket(docs, bits)
-        prints = np.unique(bucket.prints >> bucket.short)
+        prints = distinct(bucket.prints >> bucket.short)
         cuts = np.searchsorted(prints, (np.arange(1, ranges, dtype=object) * (1 << bits) // ranges).astype(U))
         keys, blobs = [], []
         for i, own in enumerate(np.split(prints, cuts)):
@@ -151,28 +189,31 @@ def dealt_cells(width: int, path: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return cell
 
 
-def _blobs(cell: np.ndarray, path: np.ndarray, ids: np.ndarray, rows: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def _blobs(cell: np.ndarray, path: np.ndarray, ids: np.ndarray, rows: np.ndarray, text: np.ndarray, at: np.ndarray, passages: np.ndarray, words: pa.Array) -> Iterator[tuple[int, bytes]]:
     """By cell the suffixes, with the words they are made of."""
     by = np.lexsort((path, cell))  # neighbours begin alike, which packs better
     for own in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
         if len(own):
-            used, symbol = np.unique(passages[own], return_inverse=True)
-            texts, mine = np.unique(text[own], return_inverse=True)
-            raw = np.frombuffer(b" ".join(words[i] for i in used.tolist()), np.uint8)
-            symbol = _small(symbol.reshape(len(own), WINDOW))
+            used, symbol = used_of(passages[own], len(words))
+            texts, mine = used_of(text[own], len(rows))
+            listed = pa.LargeListArray.from_arrays([0, len(used)], words.take(pa.array(used)))
+            raw = np.frombuffer(pc.binary_join(listed, pa.scalar(b" ", pa.large_binary()))[0].as_buffer(), np.uint8)
+            symbol = _small(symbol)
             yield int(cell[own[0]]), pack(ids[texts].view(U), rows[texts].view(U), _small(mine), _small(at[own]), raw, *np.ascontiguousarray(symbol.T), rising=(0, 1))
 
 
-def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     ids, rows, mine, at, raw, *symbol = unpack(blob, rising=(0, 1))
-    return ids.view(np.int64), rows.view(np.int64), mine.astype(np.int64), at.astype(np.int64), raw.tobytes().split(b" "), np.stack(symbol, 1).astype(np.int32)
+    apart = np.flatnonzero(raw == 32)
+    words = byte_runs(raw, np.append(0, apart + 1), np.append(apart, len(raw)))
+    return ids.view(np.int64), rows.view(np.int64), mine.astype(np.int64), at.astype(np.int64), words, np.stack(symbol, 1).astype(np.int32)
 
 
 def _abroad(bucket: Bucket, shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The order of a bucket's windows by fingerprint, and which of them, in that order, other buckets may have."""
     prints = [unpack(blob, rising=(0,))[0] for blob in shared.column("blob").to_pylist()]
     prints = np.sort(np.concatenate(prints)) if prints else np.zeros(0, U)
-    by = np.argsort(bucket.prints, kind="stable")
+    by = np.argsort(bucket.prints)
     own = bucket.prints[by] >> bucket.short
     place = np.minimum(np.searchsorted(prints, own), max(0, len(prints) - 1))
     return by, prints[place] == own if len(prints) else np.zeros(len(own), bool)
@@ -237,15 +278,33 @@ def _suffixes(width: int, bits: int, heavy: np.ndarray) -> Callable:
     return run
 
 
+def in_order(passages: np.ndarray) -> np.ndarray:
+    """The lexicographic order: by as many words as 64 bits hold, then, of those alike so far, by as many more."""
+    bits = max(1, int(passages.max(initial=0)).bit_length())
+    order, head = np.arange(len(passages)), np.arange(len(passages)) == 0
+    for k in range(0, WINDOW, 64 // bits):
+        alike = ~head
+        alike[:-1] |= alike[1:]
+        at = np.flatnonzero(alike)
+        if not len(at):
+            break
+        own, key = order[at], np.zeros(len(at), U)
+        for column in passages[own, k : k + 64 // bits].T:
+            key = (key << U(bits)) | column.astype(U)
+        both = (np.cumsum(head)[at].astype(U) << U(32)) | ranked(key)[1].astype(U)
+        by = np.argsort(both)
+        order[at], both = own[by], both[by]
+        head[at[1:]] = both[1:] != both[:-1]
+    return order
+
+
 class Tree:
     """A suffix tree down to depth WINDOW, as suffix array and longest common prefixes of neighbours."""
 
     def __init__(self, passages: np.ndarray) -> None:
-        wide = np.zeros((len(passages), WINDOW + WINDOW % 2), np.uint32)
-        wide[:, :WINDOW] = passages
-        pairs = (wide[:, ::2].astype(U) << U(32)) | wide[:, 1::2]
-        self.order = np.lexsort(tuple(pairs.T[::-1]))
-        differ = passages[self.order[1:]] != passages[self.order[:-1]]
+        self.order = in_order(passages)
+        passages = passages[self.order]
+        differ = passages[1:] != passages[:-1]
         self.common = np.where(differ.any(1), differ.argmax(1), WINDOW)
 
     def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +328,7 @@ class _Held:
 
     def repeats(self) -> Iterator[tuple[int, bytes]]:
         """By bucket the suffixes under deep inner nodes but for those of the node's smallest id, which stay held."""
-        words = pa.array([w for p in self.parts for w in p[4]], pa.binary()).dictionary_encode()
+        words = pa.concat_arrays([p[4] for p in self.parts]).dictionary_encode()
         number, base, passages = words.indices.to_numpy().astype(np.int32), 0, []
         for p in self.parts:
             passages.append(number[base + p[5]])
@@ -285,8 +344,7 @@ class _Held:
         hit = under[ids[under] > least]
         stay = np.ones(len(ids), bool)
         stay[hit] = False
-        dictionary = words.dictionary.to_pylist()
-        self.parts, self.n = [(bucket[stay], ids[stay], rows[stay], at[stay], dictionary, passages[stay])], int(stay.sum())
+        self.parts, self.n = [(bucket[stay], ids[stay], rows[stay], at[stay], words.dictionary, passages[stay])], int(stay.sum())
         hit = hit[np.argsort(bucket[hit], kind="stable")]
         for own in np.split(hit, np.flatnonzero(np.diff(bucket[hit])) + 1):
             if len(own):
@@ -354,7 +412,7 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
         return b""
     keep = np.zeros(end[-1] - start[0] + 2, np.int8)
     keep[start - start[0]] += 1
-    np.subtract.at(keep, end - start[0], 1)
+    keep[end - start[0]] -= 1
     inside = np.cumsum(keep[:-1]).astype(bool)
     inside[end[:-1] - start[0]] = True  # one separator after each word but the last
     out = data[start[0] : end[-1] + 1][inside[: end[-1] + 1 - start[0]]] if end[-1] < len(data) else np.append(data[start[0] : end[-1]], 32)[inside].astype(np.uint8)

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import zstandard
 
-_write, _read = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_write, _read = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
 
 
 def planes(x: np.ndarray) -> bytes:
